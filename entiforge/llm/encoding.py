@@ -243,7 +243,7 @@ def hypotheses(text: str, depth: int = 2) -> list[tuple[float, str, str]]:
                 best[h[1]] = h
         out.extend(best.values())
         # a further mix-up is only possible from a text that still shows damage
-        front = [h for h in best.values() if not _settled(h[1])]
+        front = [h for h in best.values() if not _settled(h[1]) or any(c in "ÂÃÄÅÐÑ" for c in h[1])]
         if not front:
             break
     return out

@@ -5,8 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entiforge.llm import encoding, visual
-from entiforge.sources.tables import signatures, table
+from entiforge.llm import encoding, leakage, packing, splits, toxicity, variants, visual
+from entiforge.plans.lineage import cut
+from entiforge.sources.tables import labels, signatures, table
+
+
+def p2_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Each named signature with the entity its spelling is attributed to."""
+    return variants.entities(signatures(spark, folder))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    unknown = labels(spark, folder).where("labels_true = -1").select(F.col("row_id").alias("signature_id"))
+    return variants.variant_pairs(p2_entities(spark, folder).join(unknown, "signature_id"))
+
+
+def _ties(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    blocks = table(spark, folder, "block_clustering").select(F.col("signature_id").alias("record"), F.col("blocks_").alias("block"))
+    authors = labels(spark, folder).select(F.col("row_id").alias("record"), F.col("labels_true").alias("author"))
+    return blocks, authors
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    groups = splits.block_groups(*_ties(spark, folder))
+    return groups.where("block <> group_block").select(F.col("group_block").alias("lead_block"), F.col("block").alias("tied_block"))
+
+
+def p3_splits(spark: SparkSession, folder: str) -> DataFrame:
+    """Each signature with its group and split (80 : 10 : 10)."""
+    return splits.split_records(table(spark, folder, "signature").select(F.col("signature_id").alias("record")), *_ties(spark, folder))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,11 +54,59 @@ def p5_restored(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.garbled_rows(table(spark, folder, "signature"), "signature_id")
 
 
+def p6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document, or piece of one larger than a container, with its container and place in it."""
+    return packing.pack_documents(table(spark, folder, "documents"), table(spark, folder, "containers"))
+
+
+def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Each leak with the words given away and the longest verbatim run."""
+    return leakage.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p7_leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its score."""
+    documents = table(spark, folder, "documents")
+    weights, threshold = toxicity.fit(table(spark, folder, "reviewed_posts"), documents)
+    return toxicity.score_documents(documents, weights, threshold)
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_scores(spark, folder).where("toxic_sentences > 0").select("doc_id")
+
+
+def p8_source_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Rate of such documents per source."""
+    documents = table(spark, folder, "documents")
+    return toxicity.source_rates(documents, cut(p8_scores(spark, folder), "scored"))
+
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_entities": p2_entities,
+    "p3_found": p3_found,
+    "p3_splits": p3_splits,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
     "p5_found": p5_found,
     "p5_restored": p5_restored,
+    "p6_packing": p6_packing,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_source_rates": p8_source_rates,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p3_found": """
+WITH RECURSIVE lab AS (SELECT row_id, max(labels_true) AS a FROM metric_labels GROUP BY 1 HAVING max(labels_true) >= 0),
+ties AS (SELECT DISTINCT b.blocks_ AS block, l.a FROM block_clustering b JOIN lab l ON l.row_id = b.signature_id WHERE b.blocks_ IS NOT NULL),
+e AS (SELECT DISTINCT x.block AS s, y.block AS d FROM ties x JOIN ties y USING (a) WHERE x.block <> y.block),
+r AS (SELECT s AS v, s AS lead FROM e UNION SELECT e.d, r.lead FROM r JOIN e ON e.s = r.v)
+SELECT min(lead) AS lead_block, v AS tied_block FROM r GROUP BY v HAVING min(lead) < v""",
+}

@@ -67,7 +67,7 @@ def with_visual_form(df: DataFrame, column: str, out: str = "visual_form") -> Da
         try:
             for b in batches:
                 con.register("batch", pa.Table.from_batches([b]))
-                got = con.execute(sql).to_arrow_table()
+                got = con.sql(sql).to_arrow_table()
                 con.unregister("batch")
                 yield from pa.table({n: got.column(i) for i, n in enumerate(names)}).to_batches()
         finally:

@@ -301,7 +301,7 @@ def _mask(column):
     return F.regexp_replace(F.lower(column), "[^\\x00-\\x7f]", "?")
 
 
-def restore_names(rows: DataFrame, column: str = "author_name") -> DataFrame:
+def restore_names(rows: DataFrame, column: str = "author_name", names_per_task: int = 2_000) -> DataFrame:
     """``(column, damaged, restored, channel)`` for each distinct non-null value of ``column``.
 
     ``restored`` is the value itself where it is not damaged.  Where bytes were lost, the words of the corpus that fit
@@ -325,8 +325,9 @@ def restore_names(rows: DataFrame, column: str = "author_name") -> DataFrame:
                 "pattern": [g[4] for g in got],
             })
 
-    # the decoder is CPU-bound and only foreign names need it: even slices, whatever the file layout
-    decoded = cut(foreign.repartition(column).mapInPandas(run, f"`{column}` string, damaged boolean, restored string, channel string, pattern string"), "decoded")
+    # the decoder is CPU-bound and its rows are small: tasks by number of names, for by bytes they would be one task
+    tasks = max(1, -(-foreign.count() // names_per_task))
+    decoded = cut(foreign.repartition(tasks, column).mapInPandas(run, f"`{column}` string, damaged boolean, restored string, channel string, pattern string"), "decoded")
     # words of undamaged names, with their frequency over the distinct names
     sound = names.join(decoded.where("damaged").select(column), column, "left_anti")
     words = sound.select(F.explode(F.array_distinct(F.split(F.lower(column), "[ ,]+"))).alias("word")).where("word rlike '[^\\\\x00-\\\\x7f]'")

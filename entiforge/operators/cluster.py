@@ -47,8 +47,9 @@ def cluster_threshold(rows: DataFrame, distances: DataFrame, threshold: float, m
     if method == "single":
         return marked.select(row_id, block, F.col("component").alias("cluster"))
     marked = cut(marked, "components")
-    c = marked.select(F.col(row_id).alias("i"), "component").join(d, "i").join(marked.select(F.col(row_id).alias("j"), F.col("component").alias("other")), "j").where("component = other")
-    members = marked.join(c.select("component").distinct(), "component")
+    c = marked.select(F.col(row_id).alias("i"), "component").join(d, "i").join(marked.select(F.col(row_id).alias("j"), F.col("component").alias("other")), "j").where("component = other").select(F.col("component").alias("pair_component"), "i", "j", "dist")
+    busy = c.select(F.col("pair_component").alias("component")).distinct()
+    members = marked.join(busy, "component")
 
     def run(key: tuple, mine: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         ids = np.sort(mine[row_id].to_numpy())
@@ -57,8 +58,8 @@ def cluster_threshold(rows: DataFrame, distances: DataFrame, threshold: float, m
         return pd.DataFrame({row_id: ids, block: mine[block].iloc[0], "cluster": lead[labels].to_numpy()})
 
     schema = T.StructType([known.schema[row_id], known.schema[block], T.StructField("cluster", known.schema[row_id].dataType)])
-    grouped = members.groupBy("component").cogroup(c.select("component", "i", "j", "dist").groupBy("component")).applyInPandas(run, schema)
-    alone = marked.join(c.select("component").distinct(), "component", "left_anti").select(row_id, block, F.col("component").alias("cluster"))
+    grouped = members.groupBy("component").cogroup(c.groupBy("pair_component")).applyInPandas(run, schema)
+    alone = marked.join(busy, "component", "left_anti").select(row_id, block, F.col("component").alias("cluster"))
     return grouped.unionByName(alone)
 
 

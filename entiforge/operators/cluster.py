@@ -108,7 +108,9 @@ def fit_blocks(
 
     btype, itype = known.schema[block].dataType.simpleString(), known.schema[row_id].dataType.simpleString()
     several = sized.where("__n > 1").drop("__n")
-    done = several.groupBy(block).cogroup(distances.where(F.col(block).isNotNull()).groupBy(block)).applyInPandas(run, f"`{block}` {btype}, ids array<{itype}>, tree {TREE}, threshold double")
+    # renamed, as distances are often derived from the rows and would share their column ids
+    far = distances.where(F.col(block).isNotNull()).select(F.col(block).alias("__block"), F.col("i").alias("i"), F.col("j").alias("j"), F.col("dist").alias("dist"))
+    done = several.groupBy(block).cogroup(far.groupBy("__block")).applyInPandas(run, f"`{block}` {btype}, ids array<{itype}>, tree {TREE}, threshold double")
     return done.unionByName(singles)
 
 

@@ -191,8 +191,8 @@ c AS (SELECT l_id, r_id, sum(a.w * b.w) AS s FROM cited JOIN v a ON a.id = l_id
 SELECT l_id, r_id, round(coalesce(s, 0), 6) AS cosine FROM cited LEFT JOIN c USING (l_id, r_id)""",
     "year_diff": f"""WITH {_CITED}, y AS (SELECT publication_id AS id, CASE WHEN coalesce(pub_year, 0) = 0 THEN -1 ELSE pub_year END AS y FROM rec)
 SELECT l_id, r_id, abs(a.y - b.y) AS difference FROM cited JOIN y a ON a.id = l_id JOIN y b ON b.id = r_id""",
-    "coauthors_range": f"""WITH {SIGNATURE_SQL}, {_REC}, j AS (SELECT signature_id, author_name, rec.authors, {_AT} AS at FROM sig JOIN rec USING (publication_id) WHERE author_name <> '')
-SELECT signature_id, array_to_string(CASE WHEN at > 0 THEN authors[greatest(1, at - 2):least(len(authors), at + 1)] ELSE authors END, ' ') AS near_authors,
+    "coauthors_range": f"""WITH {SIGNATURE_SQL}, {_REC}, j AS (SELECT signature_id, author_name, rec.authors, {_AT} AS own FROM sig JOIN rec USING (publication_id) WHERE author_name <> '')
+SELECT signature_id, array_to_string(CASE WHEN own > 0 THEN authors[greatest(1, own - 2):least(len(authors), own + 1)] ELSE authors END, ' ') AS near_authors,
   array_to_string(authors, ' ') AS all_authors FROM j""",
     "pair_categories": f"""WITH {_TRUTH} SELECT concat(CASE WHEN a.label = b.label THEN 'sa' ELSE 'da' END, CASE WHEN a.author_name IS NOT DISTINCT FROM b.author_name THEN 'sn' ELSE 'dn' END) AS category,
   CASE WHEN a.label = b.label THEN 0 ELSE 1 END AS target, count(*) AS n_pairs FROM pairs JOIN truth a ON a.signature_id = l_id JOIN truth b ON b.signature_id = r_id GROUP BY ALL""",

@@ -137,3 +137,12 @@ def test_incremental(spark, tmp_path):
     q.awaitTermination()
     got = {r.row_id: r.label for r in store.at(q.lastProgress["batchId"]).collect()}
     assert got == {i: i - i % 4 for i in range(30)}
+
+
+def test_estimator_feature(spark):
+    rows = [(i, "abab" if i % 2 else "xyxy", float(i % 2)) for i in range(20)]
+    df = spark.createDataFrame(rows, "signature_id bigint, t string, y double")
+    model = ft.text_estimator(df, "t", "y", (1, 3), 256)
+    p = spark.createDataFrame([(1, 3), (1, 2)], "l_id bigint, r_id bigint")
+    got = {r.r_id: r.f_estimator for r in ft.estimator_pair_scores(model, p, df, "signature_id", "t", ngrams=(1, 3)).collect()}
+    assert got[3][1] > got[2][1] and got[3][1] > got[3][0]

@@ -81,7 +81,9 @@ def name_initials(name: Column) -> Column:
 
 def given_name(name: Column, index: int = 0) -> Column:
     """Word ``index`` of the given names (between first and second comma; without comma of the whole name), or ``""``."""
-    with_comma = F.get(F.split(F.trim(F.get(F.split(name, ","), F.lit(1))), " "), F.lit(index))
+    # any script's blanks are stripped, but only plain blanks separate words
+    stripped = F.regexp_replace(F.get(F.split(name, ","), F.lit(1)), r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$", "")
+    with_comma = F.get(F.split(stripped, " "), F.lit(index))
     without = F.get(F.split(name, " "), F.lit(index))
     return F.when(name.isNull(), None).otherwise(F.coalesce(F.when(F.instr(name, ",") > 0, with_comma).otherwise(without), F.lit("")))
 

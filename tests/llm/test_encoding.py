@@ -18,7 +18,11 @@ def garble(text, read, written):
 
 @pytest.fixture(scope="module")
 def repaired(spark):
-    clean = [(i, p) for i, p in enumerate(PEOPLE * 6)]
+    latin = [p for p in PEOPLE if p[0] < "И" or p[0] > "я"]
+    cyrillic = [p for p in PEOPLE if p not in latin]
+    mixed = [f"{a.split(', ')[0]}, {b.split(', ')[1]}" for part in (latin, cyrillic) for a in part for b in part]
+    mixed += [f"{a}{e}, {b}" for a in ("Сидор", "Петр", "Роман", "Иван", "Нин", "Олег") for e in ("ов", "ин", "ова", "ев") for b in ("Роман", "Нина", "Олег")]
+    clean = list(enumerate(PEOPLE + mixed))
     bad = {}
     for p in PEOPLE:
         for read, written in MIXES:

@@ -16,6 +16,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -105,12 +106,18 @@ class CharModel:
     def __init__(self, counts: np.ndarray):
         total = max(float(counts.sum()), 1.0)
         self.cost = np.log((counts + 0.05) / (total + 0.05 * LM_SIZE)).astype("float32")
+        self.known: dict[str, float] = {}
 
     def arc(self, a: str, b: str, c: str) -> float:
         return float(self.cost[_slot(a, b, c)])
 
     def score(self, word: str) -> float:
-        return sum(float(self.cost[s]) for s in trigrams(word))
+        got = self.known.get(word)
+        if got is None:
+            got = float(self.cost[list(trigrams(word))].sum())
+            if len(self.known) < 200_000:
+                self.known[word] = got
+        return got
 
 
 def _fold(text: str) -> str:
@@ -123,6 +130,7 @@ def _words(text: str) -> list[str]:
 
 
 #: Signs of a damaged span: what no spelling of a name holds.
+@lru_cache(1 << 14)
 def _odd(ch: str) -> bool:
     if "\uff01" <= ch <= "\uff5e" or ch == "\u212a":
         return False
@@ -133,31 +141,45 @@ def _odd(ch: str) -> bool:
 def _decode_once(text: str, read: str, written: str) -> str | None:
     """``text`` encoded with ``read`` and decoded with ``written``; only maximal non-ASCII spans are touched (an
     undamaged span stays, as when two sources were joined), None where no span can be decoded."""
-    table, out, done, i, n = _byte_map(read), [], False, 0, len(text)
-    while i < n:
-        if text[i] < "\x80":
-            out.append(text[i])
-            i += 1
-            continue
-        j = i
-        while j < n and text[j] >= "\x80" and text[j] != LOST and text[j] in table:
-            j += 1
-        if j == i:
-            out.append(text[i])
-            i += 1
-            continue
-        raw = bytes(table[c] for c in text[i:j])
-        try:
-            got = raw.decode(written)
-        except UnicodeDecodeError:
+    table, out, done, at = _byte_map(read), [], False, 0
+    for run in _RUNS.finditer(text):
+        for part in _encodable(run.group(), table):
             got = ""
-        if got and all(_plausible(c) for c in got):
-            out.append(got)
-            done = True
-        else:
-            out.append(text[i:j])
-        i = j
-    return "".join(out) if done else None
+            if isinstance(part, bytes):
+                try:
+                    got = part.decode(written)
+                except UnicodeDecodeError:
+                    part = "".join(_char_map(read)[b] for b in part)
+            if got and all(_plausible(c) for c in got):
+                done = True
+            elif got:
+                part, got = "".join(_char_map(read)[b] for b in part), ""
+            out.append((run.start(), run.end(), got or part))
+    if not done:
+        return None
+    text_out, last = [], None
+    for start, end, piece in out:
+        if start != last:
+            text_out.append(text[at:start])
+            last, at = start, end
+        text_out.append(piece)
+    return "".join(text_out) + text[at:]
+
+
+_RUNS = re.compile("[^\x00-\x7f\ufffd]+")
+
+
+@lru_cache(None)
+def _char_map(page: str) -> dict[int, str]:
+    return {b: c for c, b in _byte_map(page).items()}
+
+
+def _encodable(run: str, table: dict[str, int]) -> list[bytes | str]:
+    """``run`` as bytes where the page has its characters, the other characters as they are."""
+    try:
+        return [bytes([table[c] for c in run])]
+    except KeyError:
+        return [bytes(table[c] for c in p) if p[0] in table else p for p in ("".join(g) for _, g in groupby(run, table.__contains__))]
 
 
 @lru_cache(4096)
@@ -243,7 +265,8 @@ def hypotheses(text: str, depth: int = 2) -> list[tuple[float, str, str]]:
                 best[h[1]] = h
         out.extend(best.values())
         # a further mix-up is only possible from a text that still shows damage
-        front = [h for h in best.values() if not _settled(h[1]) or any(c in "ÂÃÄÅÐÑ" for c in h[1])]
+        # (only UTF-8 is met twice over), or the leading bytes of two-byte letters
+        front = [h for h in best.values() if h[2].endswith("utf-8") and (any(c in "ÂÃÄÅÐÑ" for c in h[1]) or not _settled(h[1]))]
         if not front:
             break
     return out
@@ -314,7 +337,7 @@ def restore_names(rows: DataFrame, column: str = "author_name", names_per_task:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = CharModel.__new__(CharModel)
-        m.cost = model.value
+        m.cost, m.known = model.value, {}
         for pdf in batches:
             got = [decide(t, m) for t in pdf[column]]
             yield pd.DataFrame({

@@ -16,19 +16,21 @@ from pyspark.sql import functions as F
 from entiforge.plans.lineage import cut
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", jumps: int = 3, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", jumps: int = 2, max_rounds: int = 50) -> DataFrame:
     """``(vertex, component)`` for each vertex of ``edges``; ``component`` is the smallest vertex reached."""
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
+    # kept once: the plan behind the edges would else run again for the vertices
+    e = cut(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct(), "ties")
     vertices = e.select(F.col("a").alias("vertex")).union(e.select("b")).distinct()
-    live = cut(e.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    live = e.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     parents: DataFrame | None = None
     for _ in range(max_rounds):
         if live.isEmpty():
             break
         # hook: the smallest of a vertex and its neighbours
         hook = live.select(F.col("b").alias("v"), F.col("a").alias("p")).union(live.select("a", "a")).groupBy("v").agg(F.min("p").alias("p"))
-        hook = cut(hook, "hook")
         for _ in range(jumps):
+            # pointer doubling: one join, then the table is kept, so no plan grows with the jumps
+            hook = cut(hook, "hook")
             up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
             hook = hook.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p"))
         hook = cut(hook, "parents")

@@ -102,7 +102,14 @@ QUERIES = {
     "p8_source_rates": p8_source_rates,
 }
 
+_FORMS = f"forms AS MATERIALIZED (SELECT author_name, {visual.form_expression('author_name')} AS visual_form FROM (SELECT DISTINCT author_name FROM signature WHERE author_name IS NOT NULL))"
+
 SQL: dict[str, str] = {
+    "p4_forms": f"WITH {_FORMS} SELECT author_name, visual_form FROM forms",
+    "p4_found": f"""
+WITH {_FORMS}, s AS (SELECT DISTINCT signature_id, author_name, visual_form FROM signature JOIN forms USING (author_name) WHERE visual_form <> '')
+SELECT a.signature_id AS signature_id_a, b.signature_id AS signature_id_b FROM s a JOIN s b USING (visual_form)
+WHERE a.signature_id < b.signature_id AND a.author_name <> b.author_name""",
     "p3_found": """
 WITH RECURSIVE lab AS (SELECT row_id, max(labels_true) AS a FROM metric_labels GROUP BY 1 HAVING max(labels_true) >= 0),
 ties AS (SELECT DISTINCT b.blocks_ AS block, l.a FROM block_clustering b JOIN lab l ON l.row_id = b.signature_id WHERE b.blocks_ IS NOT NULL),

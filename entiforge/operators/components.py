@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entiforge.plans.lineage import cut
+from entiforge.plans.lineage import cut, release
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", jumps: int = 2, max_rounds: int = 50) -> DataFrame:
@@ -28,21 +28,26 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", j
             break
         # hook: the smallest of a vertex and its neighbours
         hook = live.select(F.col("b").alias("v"), F.col("a").alias("p")).union(live.select("a", "a")).groupBy("v").agg(F.min("p").alias("p"))
+        hook = cut(hook, "hook")
         for _ in range(jumps):
             # pointer doubling: one join, then the table is kept, so no plan grows with the jumps
-            hook = cut(hook, "hook")
             up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-            hook = hook.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p"))
-        hook = cut(hook, "parents")
+            further = cut(hook.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p")), "hook")
+            release(hook)
+            hook = further
         left = hook.select(F.col("v").alias("a"), F.col("p").alias("ra"))
         right = hook.select(F.col("v").alias("b"), F.col("p").alias("rb"))
-        live = live.join(left, "a").join(right, "b").where(F.col("ra") != F.col("rb"))
-        live = cut(live.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        contracted = live.join(left, "a").join(right, "b").where(F.col("ra") != F.col("rb"))
+        contracted = cut(contracted.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        release(live)
+        live = contracted
         if parents is None:
             parents = hook
         else:
             moved = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-            parents = cut(parents.join(moved, "p", "left").select("v", F.coalesce("pp", "p").alias("p")), "parents")
+            further = cut(parents.join(moved, "p", "left").select("v", F.coalesce("pp", "p").alias("p")), "parents")
+            release(parents, hook)
+            parents = further
     else:
         raise RuntimeError("components did not settle")
     if parents is None:

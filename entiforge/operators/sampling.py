@@ -6,6 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def smallest_hashes(df: DataFrame, rows: int, keys: list[str], limit: int, seed: int = 1) -> DataFrame:
+    """``limit`` rows of ``df`` with the smallest keyed hashes (all, where there are fewer).
+
+    A top-k keeps ``limit`` rows of every task; so of many ``rows`` only those below a hash bound that leaves about
+    four times the limit are looked at, and what reaches one place stays within that however many tasks there are.
+    ``rows`` is the number of rows or an estimate not above it.
+    """
+    h = F.xxhash64(*keys, F.lit(seed))
+    if rows > 4 * limit:
+        bound = int((4 * limit / rows) * 2**62)
+        df = df.where(F.pmod(h, F.lit(2**62)) < bound)
+    return df.orderBy(F.pmod(h, F.lit(2**62)), *keys).limit(limit)
+
+
 def categorize(pairs: DataFrame, truth: DataFrame, row_id: str = "signature_id", label: str = "label", name: str = "author_name") -> DataFrame:
     """``pairs(l_id, r_id)`` with ``target`` (0 same author, 1 different) and ``category``: d/s (different or same)
     a(uthor) d/s n(ame)."""
@@ -20,7 +34,7 @@ def categorize(pairs: DataFrame, truth: DataFrame, row_id: str = "signature_id",
 
 def sample_balanced(pairs: DataFrame, size: int, seed: int = 1) -> DataFrame:
     """``size // 4`` pairs of each category; a category with fewer is repeated as often as needed, an empty one gives
-    none.  The smallest keyed hashes are taken with a top-k of each partition: nothing is sorted as a whole."""
+    none.  Rows are drawn by :func:`smallest_hashes`: nothing is sorted as a whole."""
     quota = size // 4
     counts = {r["category"]: int(r["n"]) for r in pairs.groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows
     out = None
@@ -28,16 +42,17 @@ def sample_balanced(pairs: DataFrame, size: int, seed: int = 1) -> DataFrame:
         n = counts.get(category, 0)
         copies = -(-quota // n) if n else 0
         part = pairs.where(F.col("category") == category).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(max(copies, 1)))))
-        drawn = part.orderBy(F.xxhash64("l_id", "r_id", "copy", F.lit(seed)), "l_id", "r_id", "copy").limit(quota)
+        drawn = smallest_hashes(part, n * max(copies, 1), ["l_id", "r_id", "copy"], quota, seed)
         out = drawn if out is None else out.unionByName(drawn)
     return out
 
 
 def sample_unbalanced(pairs: DataFrame, size: int, seed: int = 1) -> DataFrame:
     """Half positives (same author), half negatives, of what there is."""
+    counts = {r["target"]: int(r["n"]) for r in pairs.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     out = None
     for target in (0, 1):
-        drawn = pairs.where(F.col("target") == target).orderBy(F.xxhash64("l_id", "r_id", F.lit(seed)), "l_id", "r_id").limit(size // 2)
+        drawn = smallest_hashes(pairs.where(F.col("target") == target), counts.get(target, 0), ["l_id", "r_id"], size // 2, seed)
         out = drawn if out is None else out.unionByName(drawn)
     return out
 

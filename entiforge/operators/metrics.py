@@ -103,3 +103,25 @@ def silhouette(distances: DataFrame, labels: DataFrame) -> DataFrame:
     ab = own.groupBy("i").agg(F.max(F.when(F.col("other") == F.col("label"), F.col("mean"))).alias("a"), F.min(F.when(F.col("other") != F.col("label"), F.col("mean"))).alias("b"))
     each = labels.join(ab, labels["id"] == ab["i"], "left").select("label", F.when(F.col("a").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0))).alias("s"))
     return each.agg(F.avg("s").alias("s"), F.count_distinct("label").alias("k"), F.count(F.lit(1)).alias("n")).select(F.when((F.col("k") > 1) & (F.col("k") < F.col("n")), F.col("s")).otherwise(-1.0).alias("silhouette"))
+
+
+def silhouette_cosine(vectors: DataFrame) -> DataFrame:
+    """One row ``(silhouette)`` under cosine distance from ``vectors(id, label, v)``, without making pairs.
+
+    The mean distance of a row to a cluster is linear in the cluster's sum of unit vectors, so one sum per cluster and
+    dimension stands for all of its rows.  Same rules as :func:`silhouette`; a vector without length is at distance 1
+    from everything.
+    """
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    long = vectors.select("id", "label", F.posexplode("v").alias("pos", "x"), norm.alias("norm")).select("id", "label", "pos", F.when(F.col("norm") > 0, F.col("x") / F.col("norm")).otherwise(0.0).alias("x"))
+    sums = long.groupBy(F.col("label").alias("other"), "pos").agg(F.sum("x").alias("sx"))
+    sizes = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    met = long.join(sums, "pos").groupBy("id", "label", "other").agg(F.sum(F.col("x") * F.col("sx")).alias("dot"), F.sum(F.col("x") * F.col("x")).alias("own"))
+    sized = met.join(sizes.withColumnRenamed("label", "other"), "other")
+    same = F.col("other") == F.col("label")
+    near = F.when(same & (F.col("size") > 1), (F.col("size") - 1 - (F.col("dot") - F.col("own"))) / (F.col("size") - 1))
+    far = F.when(~same, 1 - F.col("dot") / F.col("size"))
+    each = sized.groupBy("id", "label").agg(F.max(near).alias("a"), F.min(far).alias("b"))
+    top = F.greatest("a", "b")
+    s = F.when(F.col("a").isNull() | (top == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(top, F.lit(0.0)))
+    return each.agg(F.avg(s).alias("s"), F.count_distinct("label").alias("k"), F.count(F.lit(1)).alias("n")).select(F.when((F.col("k") > 1) & (F.col("k") < F.col("n")), F.col("s")).otherwise(-1.0).alias("silhouette"))

@@ -44,16 +44,16 @@ def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("label").cast("bigint").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
 
 
-def _vector_distances(spark: SparkSession, folder: str, block: str | None) -> DataFrame:
-    """Cosine distances within blocks (or, for the silhouette's stated whole set, over all vectors)."""
-    v = _vectors(spark, folder).withColumn("block", F.col(block) if block else F.lit(0).cast("bigint"))
+def _vector_distances(spark: SparkSession, folder: str) -> DataFrame:
+    """Cosine distances within labels; vectors are brought to unit length once each, so a pair costs one product."""
+    norm = F.sqrt(pr.dot(F.col("v"), F.col("v")))
+    v = _vectors(spark, folder).withColumn("norm", norm).select("row_id", F.col("label").alias("block"), F.transform("v", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0)).alias("v"))
     p = pr.block_pairs(v, "block", "row_id", ["v"])
-    return p.select("block", F.col("l_row_id").alias("i"), F.col("r_row_id").alias("j"), (1 - pr.cosine_similarity(F.col("l_v"), F.col("r_v"))).alias("dist"))
+    return p.select("block", F.col("l_row_id").alias("i"), F.col("r_row_id").alias("j"), (1 - pr.dot(F.col("l_v"), F.col("r_v"))).alias("dist"))
 
 
 def silhouette(spark: SparkSession, folder: str) -> DataFrame:
-    lab = _vectors(spark, folder).select(F.col("row_id").alias("id"), "label")
-    return mt.silhouette(_vector_distances(spark, folder, None), lab).select(F.round("silhouette", 6).alias("silhouette"))
+    return mt.silhouette_cosine(_vectors(spark, folder).withColumnRenamed("row_id", "id")).select(F.round("silhouette", 6).alias("silhouette"))
 
 
 def cluster_single_threshold(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,12 +66,12 @@ def cluster_single_threshold(spark: SparkSession, folder: str) -> DataFrame:
 
 def cluster_average_threshold(spark: SparkSession, folder: str) -> DataFrame:
     v = _vectors(spark, folder).withColumn("block", F.col("label"))
-    return cl.cluster_threshold(v, _vector_distances(spark, folder, "label"), 0.8, method="average")
+    return cl.cluster_threshold(v, _vector_distances(spark, folder), 0.8, method="average")
 
 
 def _model(spark: SparkSession, folder: str, method: str, **how) -> DataFrame:
     v = _vectors(spark, folder).withColumn("block", F.col("label")).select("row_id", "block")
-    return cl.fit_blocks(v, _vector_distances(spark, folder, "label"), method, **how)
+    return cl.fit_blocks(v, _vector_distances(spark, folder), method, **how)
 
 
 def cluster_complete(spark: SparkSession, folder: str) -> DataFrame:

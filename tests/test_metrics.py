@@ -4,6 +4,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from entiforge.operators import linkage as lk
 from entiforge.operators import metrics as mt
@@ -67,3 +68,16 @@ def test_silhouette(spark):
     assert mt.silhouette(dist, lab).first().silhouette == pytest.approx(lk.silhouette_score(d, np.array(labels)))
     assert mt.silhouette(dist, lab.selectExpr("id", "id AS label")).first().silhouette == -1
     assert lk.silhouette_score(d, np.zeros(14)) == -1
+
+
+def test_silhouette_cosine(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(20, 5))
+    v[3] = 0
+    labels = [i % 3 for i in range(19)] + [9]
+    u = v / np.maximum(np.linalg.norm(v, axis=1), 1e-300)[:, None]
+    d = 1 - u @ u.T
+    np.fill_diagonal(d, 0)
+    df = spark.createDataFrame([(i, int(labels[i]), [float(x) for x in v[i]]) for i in range(20)], "id bigint, label bigint, v array<double>")
+    assert mt.silhouette_cosine(df).first().silhouette == pytest.approx(lk.silhouette_score(d, np.array(labels)))
+    assert mt.silhouette_cosine(df.withColumn("label", F.lit(1))).first().silhouette == -1

@@ -10,7 +10,7 @@ def values(spark, inputs, f):
 
 
 def test_asciify(spark):
-    assert values(spark, ["", "foo", "bèård", "schröder", "Straße", "Ørsted", "Дени", None, "ＡＢ", "日"], nm.asciify) == ["", "foo", "beard", "schroder", "Strasse", "Orsted", "Deni", None, "AB", ""]
+    assert values(spark, ["", "foo", "crèmå", "schröder", "Straße", "Ørsted", "Дени", None, "ＡＢ", "日"], nm.asciify) == ["", "foo", "crema", "schroder", "Strasse", "Orsted", "Deni", None, "AB", ""]
 
 
 NORMAL = {

@@ -16,7 +16,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby
+from itertools import combinations, groupby, product
 
 import numpy as np
 import pandas as pd
@@ -53,6 +53,9 @@ CHANNELS = [
 ]
 
 LOST = "�"
+# Log prior of a mix-up after which bytes vanished, and the mark of its channel path.
+VANISHED = -1.0
+SHORT = "~"
 
 
 @lru_cache(None)
@@ -168,6 +171,103 @@ def _decode_once(text: str, read: str, written: str) -> str | None:
 
 _RUNS = re.compile("[^\x00-\x7f\ufffd]+")
 
+# Bytes that vanish after decoding: undefined ones, C1 controls, the no-break space and the soft hyphen.
+@lru_cache(None)
+def _dropped(page: str) -> frozenset[int]:
+    return frozenset(b for b, c in _char_map(page).items() if "\x80" <= c <= "\xa0" or c == "\xad")
+
+
+@lru_cache(None)
+def _sequence_length(lead: int) -> int:
+    return 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE1 <= lead <= 0xEF else 0
+
+
+@lru_cache(4096)
+def _completions(page: str, left: bytes) -> tuple[str, ...]:
+    """Letters (and marks of names) whose UTF-8 bytes are ``left`` once those that vanish under ``page`` are gone, at
+    least one; a control that vanishes is the empty text."""
+    n = _sequence_length(left[0]) if left else 0
+    if len(left) >= n or _char_map(page)[left[0]] >= "\u0250":  # a Cyrillic letter alone is a look-alike
+        return ()
+    out = set()
+    for at in combinations(range(1, n), len(left) - 1):
+        slots = [[left[1 + at.index(k)]] if k in at else [b for b in _dropped(page) if b < 0xC0] for k in range(1, n)]
+        for rest in product(*slots):
+            try:
+                c = bytes([left[0], *rest]).decode()
+            except UnicodeDecodeError:
+                continue
+            if c.isalpha() and (c < "\u0250" or "\u0370" <= c < "\u0530" or "\u1e00" <= c < "\u1f00") or c in "’‐‑–":
+                out.add(c)
+            elif "\x80" <= c <= "\xa0":
+                out.add("")
+    return tuple(sorted(out))
+
+
+@lru_cache(4096)
+def _lead(ch: str) -> bool:
+    """A character that may be all that is left of a UTF-8 sequence."""
+    return any(written == "utf-8" and ch in _byte_map(read) and _completions(read, bytes([_byte_map(read)[ch]])) for read, written, _ in CHANNELS)
+
+
+_ALONE = re.compile("[^\x00-\x7f](?=[\x00-\x7f\ufffd]|$)")
+
+
+def _decode_short(text: str, read: str, model: CharModel) -> str | None:
+    """``text`` decoded as UTF-8 where bytes of a sequence have vanished or are U+FFFD: each such sequence may be every
+    letter with the bytes left, and the model chooses.  None where no sequence is short."""
+    table, slots, short, i = _byte_map(read), [], False, 0
+    around = [c for c in text if c.isalpha() and c < "\x80"]
+    capitals = bool(around) and all(c.isupper() for c in around)
+    while i < len(text):
+        n = _sequence_length(table.get(text[i], 0)) if text[i] >= "\x80" else 0
+        k = i + 1
+        while n and k < min(i + n, len(text)) and 0x80 <= table.get(text[k], 0) < 0xC0:
+            k += 1
+        raw = bytes(table[c] for c in text[i:k]) if n else b""
+        if n and k == i + n:
+            got = raw.decode(errors="ignore")
+            slots.append([got] if got and _plausible(got) else [text[i:k]])
+        elif fits := _completions(read, raw):
+            upper = capitals or i == 0 or text[i - 1] in " ,.-'"
+            cased = lambda c: c.isupper() == upper if c.isalpha() else c != "" or i > 0 and text[i - 1] >= "\x80"  # noqa: B023, E731
+            fits = [c for c in fits if cased(c)]
+            if n == 2 and text[k : k + 1] == " ":  # the no-break space as a blank
+                whole = (raw + b"\xa0").decode()
+                fits = [f"{c} " for c in fits or [text[i:k]]] + [c for c in [whole] if c.isalpha() and cased(c)]
+                k += 1
+            while k < len(text) and k < i + n and text[k] == LOST:
+                k += 1
+            slots.append(fits or [text[i:k]])
+            short = short or slots[-1] != [text[i:k]]
+        else:
+            slots.append([text[i:k]])
+        i = k
+    return _best_path(slots, model) if short else None
+
+
+def _best_path(slots: list[list[str]], model: CharModel) -> str:
+    """The most probable text with one of its options in each slot: exact, one best path per trigram state."""
+    start = ("\x02", "\x02")
+    paths: dict[tuple[str, str], tuple[float, str]] = {start: (0.0, "")}
+    for options in slots:
+        nxt: dict[tuple[str, str], tuple[float, str]] = {}
+        for (a, b), (score, done) in paths.items():
+            for option in options:
+                p, q, cost = a, b, score
+                for c in option:
+                    if c in " ,":
+                        cost += model.arc(p, q, "\x03") if (p, q) != start else 0.0
+                        p, q = start
+                    else:
+                        low = c.lower()[:1]
+                        cost += model.arc(p, q, low)
+                        p, q = q, low
+                if (p, q) not in nxt or cost > nxt[p, q][0]:
+                    nxt[p, q] = (cost, done + option)
+        paths = nxt
+    return max((s + (model.arc(*k, "\x03") if k != start else 0.0), t) for k, (s, t) in paths.items())[1]
+
 
 @lru_cache(None)
 def _char_map(page: str) -> dict[int, str]:
@@ -191,7 +291,8 @@ def _plausible(ch: str) -> bool:
 @lru_cache(65536)
 def _isolated(text: str) -> bool:
     """True for a Latin name whose non-ASCII letters stand alone between ASCII letters and are the minority of each
-    word: no channel can have made it (UTF-8 leaves runs of two or more, a Cyrillic page leaves whole words)."""
+    word: no channel can have made it (UTF-8 leaves runs of two or more, a Cyrillic page leaves whole words) unless
+    bytes vanished (:func:`_decode_short`)."""
     run = 0
     for c in text:
         if c < "\x80":
@@ -247,7 +348,7 @@ def _viterbi(text: str, model: CharModel, keep: int = 4) -> list[tuple[float, st
     return sorted((p for v in beams.values() for p in v), reverse=True)[:keep]
 
 
-def hypotheses(text: str, depth: int = 2) -> list[tuple[float, str, str]]:
+def hypotheses(text: str, model: CharModel, depth: int = 2) -> list[tuple[float, str, str]]:
     """``(log prior, restored text, channel path)`` of every chain of at most ``depth`` mix-ups."""
     out: list[tuple[float, str, str]] = []
     front = [(0.0, text, "")]
@@ -255,10 +356,15 @@ def hypotheses(text: str, depth: int = 2) -> list[tuple[float, str, str]]:
         nxt = []
         for prior, t, path in front:
             for read, written, lp in CHANNELS:
+                if path.endswith(SHORT) and written != "utf-8":
+                    continue
                 got = _decode_once(t, read, written)
+                step = f"{path}>{read}:{written}" if path else f"{read}:{written}"
                 if got is not None and got != t:
-                    step = f"{path}>{read}:{written}" if path else f"{read}:{written}"
                     nxt.append((prior + lp, got, step))
+                got = _decode_short(t, read, model) if written == "utf-8" else None
+                if got is not None and got != t:
+                    nxt.append((prior + lp + VANISHED, got, step + SHORT))
         best: dict[str, tuple[float, str, str]] = {}
         for h in nxt:
             if h[1] not in best or h[0] > best[h[1]][0]:
@@ -266,16 +372,45 @@ def hypotheses(text: str, depth: int = 2) -> list[tuple[float, str, str]]:
         out.extend(best.values())
         # a further mix-up is only possible from a text that still shows damage
         # (only UTF-8 is met twice over), or the leading bytes of two-byte letters
-        front = [h for h in best.values() if h[2].endswith("utf-8") and (any(c in "ÂÃÄÅÐÑ" for c in h[1]) or not _settled(h[1]))]
+        front = [h for h in best.values() if h[2].rstrip(SHORT).endswith("utf-8") and (any(c in "ÂÃÄÅÐÑ" for c in h[1]) or not _settled(h[1]))]
         if not front:
             break
     return out
 
 
-def decide(text: str, model: CharModel) -> tuple[bool, str, str, float, str]:
-    """``(damaged, best text, channel path, log odds, text with its lost characters or "")`` of one name."""
-    if text.isascii() or _isolated(text):
-        return False, text, "", 0.0, ""
+def short_sequences(text: str, model: CharModel) -> list[tuple[float, str, str]]:
+    """As :func:`hypotheses`, of a name that only a mix-up with vanished bytes can have made."""
+    found = ((lp + VANISHED, _decode_short(text, read, model), f"{read}:{written}{SHORT}") for read, written, lp in CHANNELS if written == "utf-8")
+    return [(prior, t, path) for prior, t, path in found if t is not None and t != text]
+
+
+def _short_words(text: str, shown: str) -> list[tuple[int, str, str, str]]:
+    """``(position, part, expression, shown part)`` of the words and separators of ``text``; where sequences are short
+    the part has U+FFFD for each and the expression is that of the words they can have been, else it is empty."""
+    out = []
+    parts, seen = re.split("(?<=[ ,])|(?=[ ,])", text), re.split("(?<=[ ,])|(?=[ ,])", shown)
+    if len(parts) != len(seen):  # a blank was half of a letter
+        return out
+    for k, part in enumerate(parts):
+        rx, hole = "", ""
+        for i, c in enumerate(part):
+            fits = set()
+            if c >= "\x80" and (i + 1 == len(part) or part[i + 1] < "\x80"):
+                fits = {f.lower() for read, written, _ in CHANNELS if written == "utf-8" and c in _byte_map(read) for f in _completions(read, bytes([_byte_map(read)[c]])) if f.isalpha()}
+            fits = {f for f in fits if len(f) == 1}
+            rx += "[" + "".join(sorted(fits)) + "]" if fits else re.escape(c.lower())
+            hole += LOST if fits else c
+        alone = LOST in hole and len(part) > 2
+        out.append((k, hole if alone else part, f"^{rx}$" if alone else "", seen[k]))
+    return out
+
+
+def decide(text: str, model: CharModel) -> tuple[bool, str, str, float, str, str, str]:
+    """``(damaged, best text, channel path, log odds, text with its lost characters or "", text with its short
+    sequences or "", channel path of these)`` of one name."""
+    isolated = not text.isascii() and _isolated(text)
+    if text.isascii() or isolated and not any(_lead(m.group()) for m in _ALONE.finditer(text)):
+        return False, text, "", 0.0, "", "", ""
     lost = LOST in text
 
     def value(t: str) -> float:
@@ -285,11 +420,13 @@ def decide(text: str, model: CharModel) -> tuple[bool, str, str, float, str]:
         return per - 8.0 * odd - 6.0 * _mixed(t)
 
     own = value(text)
-    best = (own, text, "")
-    for prior, t, path in hypotheses(text):
+    best = whole = (own, text, "")
+    for prior, t, path in short_sequences(text, model) if isolated else hypotheses(text, model):
         v = value(t) + prior
         if v > best[0]:
             best = (v, t, path)
+        if v > whole[0] and not path.endswith(SHORT):
+            whole = (v, t, path)
     gain = best[0] - own
     restored = best[1]
     pattern = restored if LOST in restored else ""
@@ -298,7 +435,10 @@ def decide(text: str, model: CharModel) -> tuple[bool, str, str, float, str]:
         if filled:
             restored = filled[0][1]
     damaged = lost or (best[2] != "" and gain > 4.0) or not _settled(text)
-    return damaged, restored if damaged else text, best[2] if damaged else "", gain, pattern
+    # what is left of short sequences in the best text without them: the corpus may know the words
+    short = whole[1] if LOST not in whole[1] and (isolated or damaged) and any(_lead(m.group()) for m in _ALONE.finditer(whole[1])) else ""
+    hint = (best[2] or "latin-1:utf-8").replace(SHORT, "") if short else ""
+    return damaged, restored if damaged else text, best[2].replace(SHORT, "") if damaged else "", gain, pattern, short, hint
 
 
 def char_model(names: DataFrame, column: str) -> np.ndarray:
@@ -328,7 +468,8 @@ def restore_names(rows: DataFrame, column: str = "author_name", names_per_task:
     """``(column, damaged, restored, channel)`` for each distinct non-null value of ``column``.
 
     ``restored`` is the value itself where it is not damaged.  Where bytes were lost, the words of the corpus that fit
-    the damaged word letter by letter compete by frequency; with none, the best Viterbi filling stays.
+    the damaged word letter by letter compete by frequency; with none, the best Viterbi filling stays.  So do the words
+    that a short sequence can have been, against the word as it stands.
     """
     spark = rows.sparkSession
     names = cut(rows.select(column).where(F.col(column).isNotNull()).distinct(), "names")
@@ -346,11 +487,13 @@ def restore_names(rows: DataFrame, column: str = "author_name", names_per_task:
                 "restored": [g[1] for g in got],
                 "channel": [g[2] for g in got],
                 "pattern": [g[4] for g in got],
+                "short": [g[5] for g in got],
+                "hint": [g[6] for g in got],
             })
 
     # the decoder is CPU-bound and its rows are small: tasks by number of names, for by bytes they would be one task
     tasks = max(1, -(-foreign.count() // names_per_task))
-    decoded = cut(foreign.repartition(tasks, column).mapInPandas(run, f"`{column}` string, damaged boolean, restored string, channel string, pattern string"), "decoded")
+    decoded = cut(foreign.repartition(tasks, column).mapInPandas(run, f"`{column}` string, damaged boolean, restored string, channel string, pattern string, short string, hint string"), "decoded")
     # words of undamaged names, with their frequency over the distinct names
     sound = names.join(decoded.where("damaged").select(column), column, "left_anti")
     words = sound.select(F.explode(F.array_distinct(F.split(F.lower(column), "[ ,]+"))).alias("word")).where("word rlike '[^\\\\x00-\\\\x7f]'")
@@ -368,7 +511,36 @@ def restore_names(rows: DataFrame, column: str = "author_name", names_per_task:
         .groupBy(column)
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "").alias("filled"))
     )
-    settled = decoded.join(filled, column, "left").withColumn("restored", F.when(F.col("filled").isNotNull() & ~F.col("filled").contains(LOST), F.col("filled")).otherwise(F.col("restored")))
+    known = decoded.join(filled, column, "left").withColumn("restored", F.when(F.col("filled").isNotNull() & ~F.col("filled").contains(LOST), F.col("filled")).otherwise(F.col("restored")))
+
+    # short sequences: words of the corpus that they can have been and that more names hold than the word as it stands
+    def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            got = [(n, *w) for n, bad, t, r in zip(pdf[column], pdf["damaged"], pdf["short"], pdf["restored"]) for w in _short_words(t, r if bad else t)]
+            yield pd.DataFrame(got, columns=[column, "pos", "part", "rx", "shown"])
+
+    bits = cut(decoded.where("short <> ''").select(column, "damaged", "short", "restored").mapInPandas(words_of, f"`{column}` string, pos int, part string, rx string, shown string"), "short")
+    twins = bits.where("rx <> ''").withColumn("mask", _mask(F.col("part"))).join(freq, "mask").where("word rlike rx").groupBy(column, "pos").agg(F.max("n").alias("n"), F.max_by("word", F.struct("n", "word")).alias("word"))
+    own = decoded.where("short <> ''").select(column, F.posexplode(F.split("short", "(?<=[ ,])|(?=[ ,])")).alias("pos", "own"))
+    held = own.join(freq.select(F.col("word").alias("own_word"), F.col("n").alias("own_n")), F.lower("own") == F.col("own_word"), "left").select(column, "pos", "own_n")
+    better = twins.join(held, [column, "pos"], "left").where("n > coalesce(own_n, 0)").select(column, "pos", "word")
+    letters = F.expr(
+        "array_join(transform(sequence(1, length(part)), i -> CASE WHEN substring(part, i, 1) <> '�' THEN substring(part, i, 1)"
+        " WHEN i = 1 OR substring(part, i - 1, 1) IN ('-', '.', char(39)) OR part = upper(part) AND length(part) > 1 THEN upper(substring(word, i, 1)) ELSE substring(word, i, 1) END), '')"
+    )
+    mended = (
+        bits.join(better, [column, "pos"], "left")
+        .withColumn("out", F.when(F.col("word").isNotNull(), letters).otherwise(F.col("shown")))
+        .groupBy(column)
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "").alias("mended"), F.count("word").alias("n"))
+        .where("n > 0")
+    )
+    settled = known.join(mended.select(column, "mended"), column, "left").select(
+        column,
+        (F.col("damaged") | F.col("mended").isNotNull()).alias("damaged"),
+        F.coalesce("mended", "restored").alias("restored"),
+        F.when(F.col("mended").isNotNull() & (F.col("channel") == ""), F.col("hint")).otherwise(F.col("channel")).alias("channel"),
+    )
     plain = names.where(~F.col(column).rlike("[^\\x00-\\x7f]")).select(column, F.lit(False).alias("damaged"), F.col(column).alias("restored"), F.lit("").alias("channel"))
     return settled.select(column, "damaged", "restored", "channel").unionByName(plain)
 

@@ -57,11 +57,9 @@ def char_equality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _vector_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """Neighbouring vectors of each label, by id."""
-    e = table(spark, folder, "embeddings")
-    left = e.select("label", F.col("vec_id").alias("l_id"), F.col("embedding").cast("array<double>").alias("l"))
-    right = e.select(F.col("label"), F.col("vec_id").alias("r_id"), F.col("embedding").cast("array<double>").alias("r"))
-    return left.join(right, "label").where("l_id < r_id AND r_id <= l_id + 40")
+    """All pairs of vectors of each label."""
+    e = table(spark, folder, "embeddings").select("label", F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return pr.block_pairs(e, "label", "id", ["v"]).withColumnsRenamed({"l_v": "l", "r_v": "r"})
 
 
 def pair_cosine(spark: SparkSession, folder: str) -> DataFrame:

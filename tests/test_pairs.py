@@ -146,3 +146,19 @@ def test_estimator_feature(spark):
     p = spark.createDataFrame([(1, 3), (1, 2)], "l_id bigint, r_id bigint")
     got = {r.r_id: r.f_estimator for r in ft.estimator_pair_scores(model, p, df, "signature_id", "t", ngrams=(1, 3)).collect()}
     assert got[3][1] > got[2][1] and got[3][1] > got[3][0]
+
+
+def test_vector_queries_take_all_pairs(spark, tmp_path):
+    from entiforge.plans import pair_queries as pq
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 4))
+    labels = [None if i == 7 else i % 2 for i in range(120)]
+    rows = [(i * 30, [float(v) for v in x[i]], labels[i]) for i in range(120)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    x = x.astype("float32").astype("float64")
+    want = {(i * 30, j * 30): x[i] @ x[j] / np.linalg.norm(x[i]) / np.linalg.norm(x[j]) for i in range(120) for j in range(i + 1, 120) if labels[i] == labels[j] and labels[i] is not None}
+    got = {(r.l_id, r.r_id): r.cosine for r in pq.pair_cosine(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+    for query in (pq.pair_absdiff, pq.pair_elemmul, pq.pair_threshold):
+        assert {(r.l_id, r.r_id) for r in query(spark, str(tmp_path)).select("l_id", "r_id").collect()} == want.keys()

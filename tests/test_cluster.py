@@ -121,3 +121,28 @@ def test_prefix_sums(spark):
     df = spark.range(50).select(F.col("id").alias("k"), (F.col("id") % 5).alias("v"))
     got = {r.k: r.offset for r in cl.prefix_sums(df, "k", "v", partitions=6).collect()}
     assert got == {k: sum(i % 5 for i in range(k)) for k in range(50)}
+
+
+@pytest.mark.parametrize("method", ["single", "average", "ward"])
+def test_fixed_threshold_has_no_block_limit(spark, method):
+    from entiforge.plans import pipeline as pl
+
+    x = np.random.default_rng(8).normal(size=(60, 2))
+    block = np.arange(60) % 2
+    rows = spark.createDataFrame([(i, f"b{block[i]}") for i in range(60)] + [(60, "c"), (61, None)], "row_id bigint, block string")
+    at = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id bigint, a double, b double")
+
+    def near(pairs):
+        j = pairs.join(at.selectExpr("id l_row_id", "a la", "b lb"), "l_row_id").join(at.selectExpr("id r_row_id", "a ra", "b rb"), "r_row_id")
+        return j.selectExpr("block", "l_row_id i", "r_row_id j", "sqrt(pow(la - ra, 2) + pow(lb - rb, 2)) dist")
+
+    got = {r.row_id: r for r in pl.cluster_signatures(rows, near, method, 0.6, max_block_rows=10).collect()}
+    assert sorted(got) == list(range(61)) and got[60].label == 0
+    end = 0
+    for b in (0, 1):
+        ids = np.flatnonzero(block == b)
+        want = lk.cut(lk.linkage(np.linalg.norm(x[ids][:, None] - x[ids][None], axis=2), method), 0.6)
+        label = np.array([got[i].label for i in ids])
+        assert len(set(zip(want, label))) == len(set(want)) == len(set(label)) == label.max() + 1
+        assert all(got[i].global_label == got[i].label + end for i in ids)
+        end += label.max() + 1

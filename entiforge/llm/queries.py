@@ -71,12 +71,11 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its score."""
     documents = table(spark, folder, "documents")
-    weights, threshold = toxicity.fit(table(spark, folder, "reviewed_posts"), documents)
-    return toxicity.score_documents(documents, weights, threshold)
+    return toxicity.score_documents(documents, toxicity.fit(table(spark, folder, "reviewed_posts"), documents))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p8_scores(spark, folder).where("toxic_sentences > 0").select("doc_id")
+    return p8_scores(spark, folder).where("toxic_windows > 0").select("doc_id")
 
 
 def p8_source_rates(spark: SparkSession, folder: str) -> DataFrame:

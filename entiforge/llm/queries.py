@@ -59,13 +59,22 @@ def p6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"), table(spark, folder, "containers"))
 
 
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Each leak with the words given away and the longest verbatim run."""
-    return leakage.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return _leaks(spark, folder).drop("spans")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p7_leaks(spark, folder).select("doc_id", "item_id")
+    return _leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p7_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """Each document with leaks, freed of the spans above the limits."""
+    return leakage.remove_leaks(table(spark, folder, "documents"), cut(_leaks(spark, folder), "leaks"))
 
 
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,6 +105,7 @@ QUERIES = {
     "p6_packing": p6_packing,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
+    "p7_cleaned": p7_cleaned,
     "p8_found": p8_found,
     "p8_scores": p8_scores,
     "p8_source_rates": p8_source_rates,

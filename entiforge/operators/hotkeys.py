@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from entiforge.plans.lineage import cut
+
 
 def _summaries(counters: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,7 +49,8 @@ def heavy_hitters(df: DataFrame, key: str | Column, share: float, over: int = 1)
         raise ValueError("share must lie between 0 and 1")
     counters = math.ceil(4 * over / share)
     keys = df.select((F.col(key) if isinstance(key, str) else key).cast("string").alias("k"))
-    sketch = keys.mapInPandas(_summaries(counters), "k string, n bigint").groupBy("k").agg(F.sum("n").alias("n"))
+    # written once: at most ``counters + 1`` rows a task, read for the total and for the candidates
+    sketch = cut(keys.mapInPandas(_summaries(counters), "k string, n bigint").groupBy("k").agg(F.sum("n").alias("n")), "sketch")
     total = sketch.where(F.col("k").isNull()).select(F.col("n").alias("total"))
     bound = share - 1 / (counters + 1)
     candidates = sketch.where(F.col("k").isNotNull()).withColumn("total", total.scalar()).where(F.col("n") > F.col("total") * bound).select("k", "total")
@@ -58,7 +61,7 @@ def heavy_hitters(df: DataFrame, key: str | Column, share: float, over: int = 1)
 
 def split_heavy(df: DataFrame, key: str, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(heavy rows, remaining rows with those of null key, heavy keys)`` of ``df``."""
-    hot = heavy_hitters(df, key, share).select(F.col("hot_key").alias("__hot"))
+    hot = cut(heavy_hitters(df, key, share).select(F.col("hot_key").alias("__hot")), "hot")
     marked = df.join(F.broadcast(hot), df[key].cast("string") == F.col("__hot"), "left")
     return marked.where(F.col("__hot").isNotNull()).drop("__hot"), marked.where(F.col("__hot").isNull()).drop("__hot"), hot
 
@@ -76,11 +79,27 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, share: float = 0.01,
         joined = heavy.join(F.broadcast(mine), key)
     else:
         copies = mine.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        spread = heavy.withColumn("__salt", (F.rand(17) * salts).cast("int"))
+        # a hash of the row: a retried task salts its rows alike
+        spread = heavy.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
         joined = spread.join(copies, [key, "__salt"]).drop("__salt")
     return joined.unionByName(rest.join(right, key))
 
 
+def hot_keys(df: DataFrame, key: str, share: float = 0.01) -> DataFrame:
+    """``(__hot)``: the heavy keys of ``df`` as text, found once for any number of :func:`salted` joins."""
+    return cut(heavy_hitters(df, key, share).select(F.col("hot_key").alias("__hot")), "hot")
+
+
+def salted(many: DataFrame, few: DataFrame, key: str, hot: DataFrame, salts: int = 32) -> DataFrame:
+    """Inner equi-join on ``key`` as one shuffle join: rows of ``many`` with a heavy key are spread by a hash of the row
+    over ``salts`` copies of the matching rows of ``few``; other keys have one copy and one place."""
+    mark = lambda df: df.join(F.broadcast(hot), df[key].cast("string") == F.col("__hot"), "left")
+    spread = mark(many).withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int")).otherwise(0)).drop("__hot")
+    places = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = mark(few).withColumn("__salt", F.explode(places)).drop("__hot")
+    return spread.join(copies, [key, "__salt"]).drop("__salt")
+
+
 def key_profile(df: DataFrame, key: str, item: str, share: float = 0.01, salts: int = 64) -> DataFrame:
     """Per key: ``n_rows``, ``n_items`` (distinct non-null items), ``top_item`` and ``top_rows`` (most frequent item,
     smallest on ties; null and 0 where the key has none).
@@ -118,8 +137,6 @@ def rank_within(df: DataFrame, key: str, order: list[str], partitions: int | Non
     its edge) is summed to give the offsets.  ``order`` must make rows distinct for a reproducible result; equal rows
     get different positions.  Null keys form a group of their own.
     """
-    from entiforge.plans.lineage import cut
-
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
@@ -144,12 +161,10 @@ def rank_within(df: DataFrame, key: str, order: list[str], partitions: int | Non
 
     numbered = cut(ranged.mapInPandas(number, schema), "rank")
     per = numbered.groupBy("__pid", key).agg(F.max("__pos").alias("__c"))
-    # only keys that lie in several tasks need an offset: at most two a task, so the list is bounded by the tasks
-    spread = per.groupBy(key).agg(F.collect_list(F.struct("__pid", "__c")).alias("__parts")).where(F.size("__parts") > 1)
-    offsets = spread.select(F.col(key).alias("__k"), F.explode("__parts").alias("p"), "__parts").select(
-        "__k",
-        F.col("p.__pid").alias("__p"),
-        F.aggregate("__parts", F.lit(0).cast("bigint"), lambda a, x: a + F.when(x["__pid"] < F.col("p.__pid"), x["__c"]).otherwise(0)).alias("__off"),
-    )
+    # at most one row a task and key at its edge: tasks are summed in order once a key
+    inner = per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__pid", "__c"))).alias("__parts")).where(F.size("__parts") > 1)
+    running = F.aggregate("__parts", F.array(F.lit(0).cast("bigint")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x["__c"])))
+    offsets = inner.select(F.col(key).alias("__k"), F.arrays_zip(F.col("__parts.__pid").alias("pid"), running.alias("off")).alias("z")).select("__k", F.explode("z").alias("z"))
+    offsets = offsets.where(F.col("z.pid").isNotNull()).select("__k", F.col("z.pid").alias("__p"), F.col("z.off").alias("__off"))
     joined = numbered.join(F.broadcast(offsets), (numbered["__pid"] == offsets["__p"]) & numbered[key].eqNullSafe(offsets["__k"]), "left")
     return joined.select(*df.columns, (F.col("__pos") + F.coalesce("__off", F.lit(0))).cast("bigint").alias(out))

@@ -15,6 +15,7 @@ ordinary text.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +23,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
+from entiforge.plans.lineage import cut
+
+TOKENIZER = os.environ.get("ENTIFORGE_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
 
 def count_tokens(documents: DataFrame, tokenizer_path: str = TOKENIZER) -> DataFrame:
@@ -97,26 +100,42 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
 
 
 def pack(sized: DataFrame, capacity: int, slice_items: int = 100_000) -> DataFrame:
-    """``(doc_id, piece, n_tokens, container_id, offset)`` for ``sized(doc_id, n_tokens)``."""
-    from entiforge.plans.lineage import cut
+    """``(doc_id, piece, n_tokens, container_id, offset)`` for ``sized(doc_id, n_tokens)``.
 
+    Pieces that fill a container alone are placed where they are; only documents up to the capacity, and the rests of
+    longer ones, are packed - one piece a document, so slices are counted by documents.
+    """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    sized = cut(sized, "sized")  # measured once: the slices need the number of documents first
-    slices = max(1, -(-sized.count() // slice_items))
-    cap = F.lit(capacity)
-    pieces = (
-        sized.where("n_tokens > 0")
-        .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_tokens") - 1) / cap))))
-        .select("doc_id", F.col("piece").cast("int").alias("piece"), F.least(F.col("n_tokens") - F.col("piece") * cap, cap).cast("int").alias("n_tokens"))
+    sized = cut(sized.withColumn("copy", F.monotonically_increasing_id()), "sized")  # measured once: the slices need the number of documents first
+    slices = max(1, -(-sized.where(F.col("n_tokens") % capacity > 0).count() // slice_items))
+    full = F.floor(F.col("n_tokens") / capacity)
+    whole = (
+        sized.where(full > 0)
+        .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), full - 1)))
+        .select("doc_id", F.col("piece").cast("int").alias("piece"), F.lit(capacity).cast("int").alias("n_tokens"), F.concat_ws("-", F.lit("full"), "copy", "piece").alias("container_id"), F.lit(0).alias("offset"))
     )
+    rests = sized.where(F.col("n_tokens") % capacity > 0).select("doc_id", full.cast("int").alias("piece"), (F.col("n_tokens") % capacity).cast("int").alias("n_tokens"), "copy")
     placed = (
-        pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)).cast("int"))
+        rests.withColumn("slice", F.pmod(F.xxhash64("doc_id", "copy"), F.lit(slices)).cast("int"))
+        .drop("copy")
         .groupBy("slice")
         .applyInPandas(_pack_slice(capacity), "doc_id bigint, piece int, n_tokens int, container_id string, offset int")
     )
     none = sized.where("n_tokens = 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).alias("n_tokens"), F.lit(None).cast("string").alias("container_id"), F.lit(0).alias("offset"))
-    return placed.unionByName(none)
+    return placed.unionByName(whole).unionByName(none)
+
+
+def unused_room(packed: DataFrame, capacity: int) -> DataFrame:
+    """One row: ``n_pieces, n_containers, fewest_containers`` (the tokens over the capacity, rounded up: no packing
+    has fewer), ``used_tokens, unused_tokens, unused_share`` and ``over_full`` containers (none)."""
+    boxes = packed.where("container_id IS NOT NULL").groupBy("container_id").agg(F.count(F.lit(1)).alias("k"), F.sum("n_tokens").alias("n"))
+    one = boxes.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_pieces"), F.count(F.lit(1)).alias("n_containers"), F.coalesce(F.sum("n"), F.lit(0)).alias("used_tokens"), F.coalesce(F.sum((F.col("n") > capacity).cast("bigint")), F.lit(0)).alias("over_full"))
+    room = F.col("n_containers") * capacity - F.col("used_tokens")
+    return one.select(
+        "n_pieces", "n_containers", F.ceil(F.col("used_tokens") / capacity).cast("bigint").alias("fewest_containers"), "used_tokens", room.alias("unused_tokens"),
+        F.coalesce(room / (F.col("n_containers") * capacity), F.lit(0.0)).alias("unused_share"), "over_full",
+    )
 
 
 def _pack_slice(capacity: int):
@@ -129,8 +148,12 @@ def _pack_slice(capacity: int):
     return run
 
 
-def pack_documents(documents: DataFrame, containers: DataFrame, kind: str = "medium", tokenizer_path: str = TOKENIZER) -> DataFrame:
+def capacity_of(containers: DataFrame, kind: str) -> int:
     row = containers.where(F.col("container_kind") == kind).first()
     if row is None or row.capacity_tokens is None:
         raise ValueError(f"no container of kind {kind!r}")
-    return pack(count_tokens(documents, tokenizer_path), int(row.capacity_tokens))
+    return int(row.capacity_tokens)
+
+
+def pack_documents(documents: DataFrame, containers: DataFrame, kind: str = "medium", tokenizer_path: str = TOKENIZER) -> DataFrame:
+    return pack(count_tokens(documents, tokenizer_path), capacity_of(containers, kind))

@@ -45,6 +45,11 @@ def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
     return visual.name_forms(table(spark, folder, "signature"))
 
 
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Each form shared by several stored names, with how many names and rows."""
+    return visual.look_alike_classes(table(spark, folder, "signature").select("author_name"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.garbled_rows(table(spark, folder, "signature"), "signature_id").select("signature_id")
 
@@ -63,6 +68,17 @@ def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_items(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
+def p6_unused_room(spark: SparkSession, folder: str) -> DataFrame:
+    """Containers, unused room and the least number of containers, for each kind of container."""
+    documents, containers = table(spark, folder, "documents"), table(spark, folder, "containers")
+    sized = cut(packing.count_tokens(documents), "sized")
+    out = None
+    for row in containers.where("capacity_tokens > 0").orderBy("container_kind").collect():  # one row a kind
+        one = packing.unused_room(packing.pack(sized, row.capacity_tokens), row.capacity_tokens).withColumn("container_kind", F.lit(row.container_kind))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Each leak with the words given away and the longest verbatim run."""
     return _leaks(spark, folder).drop("spans")
@@ -100,9 +116,11 @@ QUERIES = {
     "p3_splits": p3_splits,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
+    "p4_classes": p4_classes,
     "p5_found": p5_found,
     "p5_restored": p5_restored,
     "p6_packing": p6_packing,
+    "p6_unused_room": p6_unused_room,
     "p7_found": p7_found,
     "p7_leaks": p7_leaks,
     "p7_cleaned": p7_cleaned,
@@ -119,6 +137,9 @@ SQL: dict[str, str] = {
 WITH {_FORMS}, s AS (SELECT DISTINCT signature_id, author_name, visual_form FROM signature JOIN forms USING (author_name) WHERE visual_form <> '')
 SELECT a.signature_id AS signature_id_a, b.signature_id AS signature_id_b FROM s a JOIN s b USING (visual_form)
 WHERE a.signature_id < b.signature_id AND a.author_name <> b.author_name""",
+    "p4_classes": f"""
+WITH {_FORMS}, n AS (SELECT author_name, count(*) AS n FROM signature GROUP BY 1)
+SELECT visual_form, count(*) AS n_values, CAST(sum(n) AS BIGINT) AS n_rows FROM forms JOIN n USING (author_name) WHERE visual_form <> '' GROUP BY 1 HAVING count(*) > 1""",
     "p3_found": """
 WITH RECURSIVE lab AS (SELECT row_id, max(labels_true) AS a FROM metric_labels GROUP BY 1 HAVING max(labels_true) >= 0),
 ties AS (SELECT DISTINCT b.blocks_ AS block, l.a FROM block_clustering b JOIN lab l ON l.row_id = b.signature_id WHERE b.blocks_ IS NOT NULL),

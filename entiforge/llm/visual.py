@@ -10,12 +10,15 @@ text; texts of any length are mapped whole; the form of a form is itself.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from entiforge.operators.hotkeys import hot_keys, salted
 from entiforge.plans.lineage import cut
 
 # Letters drawn alike, Latin form first.
@@ -26,18 +29,36 @@ LOOK_ALIKE = {
     "s": "ѕ", "v": "νѵ", "w": "ԝ", "x": "х", "y": "уү",
     "Ë": "Ё", "ë": "ё", "Ï": "ЇΪ", "ï": "ї", "È": "Ѐ", "è": "ѐ", "Ÿ": "Ϋ", "Ó": "Ό", "ó": "ό", "Å": "Å", "'": "’ʼ‘", "-": "‐‑",
 }
-# Ligatures and their letters.
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "ǆ": "dž", "ǉ": "lj", "ǌ": "nj"}
-
 #: Characters without a picture: soft hyphen, joiners, direction marks, fillers, variation selectors, tags.
 INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{3164}\x{FE00}-\x{FE0F}\x{FEFF}\x{FFA0}\x{E0000}-\x{E0FFF}]"
 BLANKS = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
+#: Kinds of compatibility forms that are drawn like their plain letters (raised, lowered, circled and fraction forms are not).
+SAME_PICTURE = ("<wide>", "<narrow>", "<font>", "<compat>")
+
+
+@lru_cache(None)
+def _compatibility() -> tuple[dict[str, str], dict[str, str]]:
+    """``(one character -> one, one -> several)`` from the Unicode data: wide, narrow, font and ligature forms of ASCII
+    characters and of Latin letters."""
+    single, several = {}, {}
+    for code in range(0xA1, 0x20000):
+        ch = chr(code)
+        kind = unicodedata.decomposition(ch).split(" ")[0]
+        if kind not in SAME_PICTURE:
+            continue
+        plain = unicodedata.normalize("NFKC", ch)
+        if len(plain) == 1 and "!" <= plain <= "~":
+            single[ch] = plain
+        elif len(plain) > 1 and all(c.isalpha() and c < "\u0250" for c in plain):
+            several[ch] = plain
+    return single, several
+
+
 def _translation() -> tuple[str, str]:
-    """Source and target alphabets: full-width forms by rule, look-alikes from the table."""
-    pairs = {chr(0xFF00 + k): chr(0x20 + k) for k in range(1, 0x5F)}
-    pairs |= {alike: form for form, alikes in LOOK_ALIKE.items() for alike in alikes}
+    """Source and target alphabets: compatibility forms by rule, look-alikes from the table."""
+    pairs = _compatibility()[0] | {alike: form for form, alikes in LOOK_ALIKE.items() for alike in alikes}
     return "".join(pairs), "".join(pairs.values())
 
 
@@ -46,7 +67,7 @@ def form_expression(column: str) -> str:
     src, dst = (x.replace("'", "''") for x in _translation())
     e = f"regexp_replace({column}, '{INVISIBLE}', '', 'g')"
     e = f"translate({e}, '{src}', '{dst}')"
-    for lig, letters in LIGATURES.items():
+    for lig, letters in _compatibility()[1].items():
         e = f"replace({e}, '{lig}', '{letters}')"
     e = f"nfc_normalize({e})"
     # a base letter from another script may only now, composed, have become one letter with its accent
@@ -85,11 +106,21 @@ def name_forms(names: DataFrame, column: str = "author_name") -> DataFrame:
     return with_visual_form(distinct.where(~plain), column).unionByName(distinct.where(plain).withColumn("visual_form", F.col(column)))
 
 
+def look_alike_classes(rows: DataFrame, column: str = "author_name") -> DataFrame:
+    """``(visual_form, n_values, n_rows)`` of each non-empty form that several stored values share: the compact result,
+    which grows with the values, not with the pairs of rows."""
+    forms = cut(name_forms(rows, column), "forms")
+    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
+    classes = forms.where(F.col("visual_form") != "").join(counts, column).groupBy("visual_form").agg(F.count(F.lit(1)).alias("n_values"), F.sum("__n").alias("n_rows"))
+    return classes.where("n_values > 1")
+
+
 def look_alike_pairs(rows: DataFrame, id_col: str, column: str = "author_name") -> DataFrame:
     """``(<id>_a, <id>_b)``, a < b: rows whose values differ but have one non-empty visual form.
 
     Only forms with several stored values are expanded, and only between different values: copies of one value are
-    never paired with each other.  Ids delivered several times count once.
+    never paired with each other, and rows of a hot value are spread over many tasks.  Ids delivered several times
+    count once.  :func:`look_alike_classes` says the same without the pairs.
     """
     forms = cut(name_forms(rows, column), "forms")
     several = forms.where(F.col("visual_form") != "").groupBy("visual_form").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("visual_form")
@@ -97,7 +128,10 @@ def look_alike_pairs(rows: DataFrame, id_col: str, column: str = "author_name")
     left = shared.select("visual_form", F.col(column).alias("value_a"))
     right = shared.select("visual_form", F.col(column).alias("value_b"))
     values = left.join(right, "visual_form").where("value_a < value_b").select("value_a", "value_b")
-    kept = cut(rows.join(shared.select(column), column).select(id_col, column).distinct(), "shared_rows")
+    hot = hot_keys(rows.select(column), column)
+    kept = cut(salted(rows.select(id_col, column), shared.select(column), column, hot).distinct(), "shared_rows")
     a = kept.select(F.col(id_col).alias("x"), F.col(column).alias("value_a"))
     b = kept.select(F.col(id_col).alias("y"), F.col(column).alias("value_b"))
-    return values.join(a, "value_a").join(b, "value_b").where("x <> y").select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b"))
+    half = salted(a, values, "value_a", hot).select("x", "value_b")
+    both = salted(half, b, "value_b", hot).where("x <> y")
+    return both.select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b"))

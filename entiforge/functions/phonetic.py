@@ -17,10 +17,13 @@ _VOWELS = "AEIOUY"
 class _Word:
     """A padded upper-case word with the tests the coding rules are written in."""
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, published: bool = True):
         bare = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)).upper()
         self.n = len(bare)
-        self.s = "  " + bare + "      "
+        self.published = published
+        # rules that ask for a blank mean the end of a word; in the older coding only a blank inside the text is one
+        pad = " " if published else "-"
+        self.s = pad * 2 + bare + pad * 6
         self.slavic = any(x in bare for x in ("W", "K", "CZ", "WITZ"))
 
     def at(self, i: int, size: int, *options: str) -> bool:
@@ -84,6 +87,8 @@ def _g(w: _Word, i: int) -> Rule:
             return "K", "K", 2
         if i == 0:
             return ("J", "J", 2) if w.ch(2) == "I" else ("K", "K", 2)
+        if i < 3 and not w.published:
+            return "", "", 1
         silent = (i > 1 and w.at(i - 2, 1, "B", "H", "D")) or (i > 2 and w.at(i - 3, 1, "B", "H", "D")) or (i > 3 and w.at(i - 4, 1, "B", "H"))
         if silent:
             return "", "", 2
@@ -188,7 +193,7 @@ def _d(w: _Word, i: int) -> Rule:
 
 
 def _m(w: _Word, i: int) -> Rule:
-    silent_b = w.at(i - 1, 3, "UMB") and (i + 1 == w.n - 1 or w.at(i + 2, 2, "ER"))
+    silent_b = w.published and w.at(i - 1, 3, "UMB") and (i + 1 == w.n - 1 or w.at(i + 2, 2, "ER"))
     return "M", "M", 2 if silent_b or w.ch(i + 1) == "M" else 1
 
 
@@ -233,9 +238,15 @@ _RULES: dict[str, Callable[[_Word, int], Rule]] = {
 
 
 @lru_cache(1 << 16)
-def double_metaphone(token: str) -> tuple[str, str]:
-    """``(primary, secondary)`` codes without a length limit; the secondary is empty where it equals the primary."""
-    w = _Word(token)
+def double_metaphone(token: str, published: bool = False) -> tuple[str, str]:
+    """``(primary, secondary)`` codes without a length limit; the secondary is empty where it equals the primary.
+
+    The rules are those of L. Philips, "The double metaphone search algorithm" (C/C++ Users Journal, 2000).  By default
+    three of them are coded as in the older library whose blocks are to be kept: the end of a word is no blank ("Koch",
+    "Jose"), GH after a vowel within the first three letters is silent ("Taghizadeh"), and B after UM is sounded
+    ("Dumb"); ``published`` follows the published rules there too.
+    """
+    w = _Word(token, published)
     one = two = ""
     i = 1 if w.at(0, 2, "GN", "KN", "PN", "WR", "PS") else 0
     while i < w.n:
@@ -314,7 +325,7 @@ def nysiis(token: str) -> str:
     return out
 
 
-ENCODERS: dict[str, Callable[[str], str]] = {"double_metaphone": lambda t: double_metaphone(t)[0], "nysiis": nysiis, "soundex": soundex5}
+ENCODERS: dict[str, Callable[[str], str]] = {"double_metaphone": lambda t: double_metaphone(t)[0], "double_metaphone_published": lambda t: double_metaphone(t, True)[0], "nysiis": nysiis, "soundex": soundex5}
 
 
 def encode_tokens(tokens: DataFrame, column: str, algorithm: str = "double_metaphone") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from entiforge.functions.names import block_last_name_first_initial, given_name_initial, tokenize_name
 from entiforge.functions.phonetic import encode_tokens
 from entiforge.operators.components import connected_components
+from entiforge.operators.hotkeys import hot_keys, salted
 from entiforge.plans.lineage import cut
 
 
@@ -36,11 +37,15 @@ def with_block(df: DataFrame, scheme: str | Callable[[DataFrame], DataFrame] | C
 def split_blocks(df: DataFrame, threshold: int, name: str = "author_name") -> DataFrame:
     """Appends the given-name initial to the key of each block with more than ``threshold`` rows.
 
-    The oversized keys are found by a count and joined back, not by a window: a window would sort each block in one
-    task, and it is the large ones that matter.
+    The oversized keys are found by a count and joined back with hot blocks spread, not by a window: a window would
+    sort each block in one task, and it is the large ones that matter.
     """
-    large = df.groupBy("block").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > threshold).select("block", F.lit(True).alias("__large"))
-    return df.join(large, "block", "left").withColumn("block", F.when(F.col("__large"), F.concat("block", given_name_initial(F.col(name)))).otherwise(F.col("block"))).select(*df.columns)
+    df = cut(df, "blocked")  # read twice below: what is behind it runs once
+    large = df.groupBy("block").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > threshold).select("block")
+    whole = df.select("block").distinct().join(large.withColumn("__large", F.lit(True)), "block", "left").where("block IS NOT NULL")
+    marked = salted(df.where("block IS NOT NULL"), whole, "block", hot_keys(df, "block"))
+    done = marked.withColumn("block", F.when(F.col("__large"), F.concat("block", given_name_initial(F.col(name)))).otherwise(F.col("block")))
+    return done.select(*df.columns).unionByName(df.where("block IS NULL"))
 
 
 def phonetic_tokens(df: DataFrame, name: str, algorithm: str = "double_metaphone") -> DataFrame:
@@ -85,7 +90,8 @@ def block_phonetic(df: DataFrame, name: str = "author_name", row_id: str = "row_
     if threshold is not None and threshold <= 0:
         raise ValueError("threshold must be positive")
     tokens = cut(phonetic_tokens(df, name, algorithm), "phonetic")
-    rows = df.join(tokens, name, "left")
+    hot = hot_keys(df.select(name), name)
+    first_of = cut(df.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(row_id).alias("first_row")), "first_of")
     single = tokens.where(F.size("s") == 1)
     content = single.select(F.col("s")[0].alias("token"), "g").distinct()
     b0 = content.select("token").distinct()
@@ -97,14 +103,17 @@ def block_phonetic(df: DataFrame, name: str = "author_name", row_id: str = "row_
     multi = multi.join(hit.withColumn("matches", F.lit(True)), "s", "left")
     multi = multi.join(b0.select(F.col("token").alias("s0"), F.lit(True).alias("first_known")), "s0", "left").join(b0.select(F.col("token").alias("sn"), F.lit(True).alias("last_known")), "sn", "left")
     multi = cut(multi, "multi")
-    first_rows = rows.where(F.size("s") > 1).groupBy("s").agg(F.min(row_id).alias("first_row"))
+    first_rows = tokens.where(F.size("s") > 1).join(first_of, name).groupBy("s").agg(F.min("first_row").alias("first_row"))
     orphans = cut(multi.where("first_known IS NULL AND last_known IS NULL").join(first_rows, "s").select("s", "s0", "sn", "first_row"), "orphans")
     groups = connected_components(orphans.select(F.col("s0").alias("src"), F.col("sn").alias("dst")))
     made = orphans.join(groups, orphans["sn"] == groups["vertex"]).groupBy("component").applyInPandas(_creators, "made_block string, creator string, made_at bigint")
     made = cut(made, "made")
     decided = multi.join(made.select(F.col("made_block").alias("s0"), F.col("made_at").alias("s0_at")), "s0", "left").join(made.select(F.col("made_block").alias("sn"), "creator"), "sn", "left")
     decided = decided.select("s", "s0", "sn", "matches", "first_known", "creator", "s0_at", "last_known")
-    blocked = rows.join(decided, "s", "left").withColumn(
+    # settled on distinct names; rows meet their name once, hot names spread
+    named = cut(tokens.join(decided, "s", "left").drop("g"), "named")
+    rows = salted(df.where(F.col(name).isNotNull()), df.select(name).distinct().where(F.col(name).isNotNull()).join(named, name, "left"), name, hot)
+    blocked = rows.withColumn(
         "block",
         F.when(F.size("s") == 1, F.col("s")[0])
         .when(F.col("matches"), F.col("sn"))
@@ -113,4 +122,5 @@ def block_phonetic(df: DataFrame, name: str = "author_name", row_id: str = "row_
         .when(F.col("s0_at") < F.col(row_id), F.col("s0"))
         .otherwise(F.col("sn")),
     ).select(*df.columns, "block")
+    blocked = blocked.unionByName(df.where(F.col(name).isNull()).withColumn("block", F.lit(None).cast("string")))
     return split_blocks(blocked, threshold, name) if threshold else blocked

@@ -1,9 +1,14 @@
 """Clustering within blocks, distributed over the blocks.
 
-Distances are made before, as rows ``(block, i, j, dist)`` with i < j.  With a fixed threshold no linkage joins rows of
-two components of the graph of pairs within the threshold (each joins clusters only where some pair is that near), so
+Distances are made before, as rows ``(block, i, j, dist)`` with i < j.  With a fixed threshold ``t`` single, complete,
+average, weighted and Ward linkage never join rows of two components of the graph of pairs within ``t``, so
 components - not blocks - are what goes to a task; single linkage is the components themselves and never leaves the
-JVM.  Only a threshold chosen from a block's own tree needs the whole block.
+JVM.  For the first four the height of a merge is at least the smallest distance between the two clusters.  For Ward
+let ``A`` and ``B`` lie in two components and be made of merges up to ``t``: the squared height is
+``2ab / (a + b) * (mean AB - mean AA / 2 - mean BB / 2)`` over squared distances, where ``mean AB > t^2`` and
+``mean AA <= (a - 1) / a * t^2`` (it is the sum of the squared heights inside, over ``a``), which leaves more than
+``t^2``.  Centroid and median linkage have no such bound, as clusters can come nearer than any pair of their rows: they
+are refused here and need the whole block, as does a threshold chosen from a block's own tree.
 
 Defined results: null blocks are not clustered; single rows have label 0; pairs that are not given count as infinitely
 far; repeated pairs count once (the smallest distance).
@@ -21,6 +26,7 @@ from pyspark.sql import types as T
 
 from entiforge.operators import linkage as lk
 from entiforge.operators.components import connected_components
+from entiforge.operators.hotkeys import hot_keys, salted
 from entiforge.plans.lineage import cut
 
 TREE = "array<struct<left:bigint,right:bigint,height:double,size:bigint>>"
@@ -39,6 +45,8 @@ def _matrix(ids: np.ndarray, pairs: pd.DataFrame) -> np.ndarray:
 
 def cluster_threshold(rows: DataFrame, distances: DataFrame, threshold: float, method: str = "single", block: str = "block", row_id: str = "row_id") -> DataFrame:
     """``(row_id, block, cluster)`` at a fixed threshold; ``cluster`` is the smallest row id of its cluster."""
+    if method not in lk.METHODS or method in ("centroid", "median"):
+        raise ValueError(f"{method!r} linkage cannot be cut by components: use fit_blocks")
     d = distances.where(F.col(block).isNotNull()).groupBy(block, "i", "j").agg(F.min("dist").alias("dist"))
     near = d.where(F.col("dist") <= threshold)
     comps = connected_components(near.select(F.col("i").alias("src"), F.col("j").alias("dst")))
@@ -96,6 +104,10 @@ def fit_blocks(
         d = _matrix(ids, pairs)
         z = lk.linkage(d, method)
         score = None
+        if supervised is lk.b3_f_score and has_label and (mine[label] != -1).any():
+            t = lk.best_b3_threshold(z, mine[label].to_numpy())
+            tree = [{"left": int(a), "right": int(b), "height": float(h), "size": int(s)} for a, b, h, s in z]
+            return pd.DataFrame({block: [key[0]], "ids": [ids.tolist()], "tree": [tree], "threshold": [t]})
         if supervised is not None and has_label and (mine[label] != -1).any():
             at = (mine[label] != -1).to_numpy()
             true = mine[label].to_numpy()[at]
@@ -166,7 +178,8 @@ def global_labels(labelled: DataFrame, block: str = "block", label: str = "label
     """``labelled`` with ``global_label``: labels of a block start after those of all smaller block keys (sorted, so
     the numbers do not depend on the order of execution)."""
     widths = labelled.groupBy(block).agg((F.max(label) + 1).alias("__k"))
-    return labelled.join(prefix_sums(widths, block, "__k", "__offset").drop("__k"), block).withColumn("global_label", F.col(label) + F.col("__offset")).drop("__offset")
+    offsets = prefix_sums(widths, block, "__k", "__offset").drop("__k")
+    return salted(labelled.where(F.col(block).isNotNull()), offsets, block, hot_keys(labelled, block)).withColumn("global_label", F.col(label) + F.col("__offset")).drop("__offset")
 
 
 def predict_blocks(rows: DataFrame, model_labels: DataFrame, block: str = "block", row_id: str = "row_id") -> DataFrame:

@@ -96,12 +96,13 @@ def merge_distance(df: DataFrame, split_cost: Callable[[int, int], float], merge
 
 def silhouette(distances: DataFrame, labels: DataFrame) -> DataFrame:
     """One row ``(silhouette)`` from ``distances(i, j, dist)`` with each unordered pair once and ``labels(id, label)``;
-    -1 unless the number of clusters lies between 1 and the number of rows, singletons count 0."""
+    -1 unless the number of clusters lies between 1 and the number of rows; singletons, and rows without a distance to
+    another cluster, count 0."""
     both = distances.select("i", "j", "dist").unionByName(distances.select(F.col("j").alias("i"), F.col("i").alias("j"), "dist"))
     per = both.join(labels.select(F.col("id").alias("j"), F.col("label").alias("other")), "j").groupBy("i", "other").agg(F.avg("dist").alias("mean"))
     own = per.join(labels.select(F.col("id").alias("i"), "label"), "i")
     ab = own.groupBy("i").agg(F.max(F.when(F.col("other") == F.col("label"), F.col("mean"))).alias("a"), F.min(F.when(F.col("other") != F.col("label"), F.col("mean"))).alias("b"))
-    each = labels.join(ab, labels["id"] == ab["i"], "left").select("label", F.when(F.col("a").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0))).alias("s"))
+    each = labels.join(ab, labels["id"] == ab["i"], "left").select("label", F.when(F.col("a").isNull() | F.col("b").isNull() | (F.greatest("a", "b") == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0))).alias("s"))
     return each.agg(F.avg("s").alias("s"), F.count_distinct("label").alias("k"), F.count(F.lit(1)).alias("n")).select(F.when((F.col("k") > 1) & (F.col("k") < F.col("n")), F.col("s")).otherwise(-1.0).alias("silhouette"))
 
 

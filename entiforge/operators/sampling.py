@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from entiforge.operators.hotkeys import rank_within
+from entiforge.operators.pairs import block_pairs
+from entiforge.plans.lineage import cut
+
 
 def smallest_hashes(df: DataFrame, rows: int, keys: list[str], limit: int, seed: int = 1) -> DataFrame:
     """``limit`` rows of ``df`` with the smallest keyed hashes (all, where there are fewer).
@@ -27,15 +31,28 @@ def categorize(pairs: DataFrame, truth: DataFrame, row_id: str = "signature_id",
     left = side.select(F.col(row_id).alias("l_id"), F.col(label).alias("__ll"), F.col(name).alias("__ln"))
     right = side.select(F.col(row_id).alias("r_id"), F.col(label).alias("__rl"), F.col(name).alias("__rn"))
     j = pairs.join(left, "l_id").join(right, "r_id")
-    same_author, same_name = F.col("__ll") == F.col("__rl"), F.col("__ln").eqNullSafe(F.col("__rn"))
+    return _marked(j, "__ll", "__rl", "__ln", "__rn").drop("__ll", "__rl", "__ln", "__rn")
+
+
+def _marked(pairs: DataFrame, l_label: str, r_label: str, l_name: str, r_name: str) -> DataFrame:
+    same_author, same_name = F.col(l_label) == F.col(r_label), F.col(l_name).eqNullSafe(F.col(r_name))
     category = F.concat(F.when(same_author, "sa").otherwise("da"), F.when(same_name, "sn").otherwise("dn"))
-    return j.withColumn("target", F.when(same_author, 0).otherwise(1)).withColumn("category", category).drop("__ll", "__rl", "__ln", "__rn")
+    return pairs.withColumn("target", F.when(same_author, 0).otherwise(1)).withColumn("category", category)
+
+
+def categorized_block_pairs(known: DataFrame, block: str = "block", row_id: str = "signature_id", label: str = "label", name: str = "author_name") -> DataFrame:
+    """``(l_id, r_id, target, category)`` of all pairs of labelled rows within a block; label and name travel with the
+    rows, so nothing is joined back to the pairs."""
+    p = block_pairs(known, block, row_id, [label, name])
+    m = _marked(p, f"l_{label}", f"r_{label}", f"l_{name}", f"r_{name}")
+    return m.select(F.col(f"l_{row_id}").alias("l_id"), F.col(f"r_{row_id}").alias("r_id"), "target", "category")
 
 
 def sample_balanced(pairs: DataFrame, size: int, seed: int = 1) -> DataFrame:
     """``size // 4`` pairs of each category; a category with fewer is repeated as often as needed, an empty one gives
     none.  Rows are drawn by :func:`smallest_hashes`: nothing is sorted as a whole."""
     quota = size // 4
+    pairs = cut(pairs, "pairs")  # read once for the counts and once a category
     counts = {r["category"]: int(r["n"]) for r in pairs.groupBy("category").agg(F.count(F.lit(1)).alias("n")).collect()}  # four rows
     out = None
     for category in ("dasn", "sasn", "sadn", "dadn"):
@@ -49,6 +66,7 @@ def sample_balanced(pairs: DataFrame, size: int, seed: int = 1) -> DataFrame:
 
 def sample_unbalanced(pairs: DataFrame, size: int, seed: int = 1) -> DataFrame:
     """Half positives (same author), half negatives, of what there is."""
+    pairs = cut(pairs, "pairs")
     counts = {r["target"]: int(r["n"]) for r in pairs.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     out = None
     for target in (0, 1):
@@ -71,8 +89,9 @@ def sample_without_blocking(truth: DataFrame, size: int, row_id: str = "signatur
     a = met.select("round", "slot", F.col(row_id).alias("l_id"), F.col(label).alias("la"))
     b = met.select("round", "slot", F.col(row_id).alias("r_id"), F.col(label).alias("lb"))
     negatives = a.join(b, ["round", "slot"]).where("l_id < r_id AND la <> lb").select("l_id", "r_id").distinct().withColumn("target", F.lit(1))
-    own = rows.withColumn("slot", F.pmod(F.xxhash64(row_id, "round", F.lit(seed + 1)), F.lit(4)))
-    a = own.select("round", "slot", F.col(label).alias("c"), F.col(row_id).alias("l_id"))
-    b = own.select("round", "slot", F.col(label).alias("c"), F.col(row_id).alias("r_id"))
-    positives = a.join(b, ["round", "slot", "c"]).where("l_id < r_id").select("l_id", "r_id").distinct().withColumn("target", F.lit(0))
+    # neighbours in a seeded order: rank joined to rank + 1 and so on, so a cluster of n rows gives at most n pairs a round
+    order = truth.select(row_id, label).withColumn("draw", F.xxhash64(row_id, F.lit(seed + 1)))
+    ranked = cut(rank_within(order, label, ["draw", row_id], out="rank").select(F.col(label).alias("c"), F.col(row_id).alias("id"), "rank"), "ranked")
+    a = ranked.select("c", F.col("id").alias("x"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda k: F.col("rank") + k)).alias("rank"))
+    positives = a.join(ranked, ["c", "rank"]).select(F.least("x", "id").alias("l_id"), F.greatest("x", "id").alias("r_id")).distinct().withColumn("target", F.lit(0))
     return sample_unbalanced(negatives.unionByName(positives), size, seed)

@@ -107,7 +107,34 @@ def predict_unknown(spark: SparkSession, folder: str) -> DataFrame:
     return cl.predict_blocks(b.select("row_id", "block"), known.select("row_id", "block", "label"))
 
 
+def linkage_heights(spark: SparkSession, folder: str) -> DataFrame:
+    """Both merge heights of every three consecutive vectors, under each linkage method."""
+    three = F.floor(F.col("row_id") / 3).alias("block")
+    v = cut(_vectors(spark, folder).select("row_id", three, "v"), "threes")
+    whole = v.join(v.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n = 3").select("block"), "block", "left_semi")
+    p = pr.block_pairs(whole, "block", "row_id", ["v"])
+    d = cut(p.select("block", F.col("l_row_id").alias("i"), F.col("r_row_id").alias("j"), (1 - pr.cosine_similarity(F.col("l_v"), F.col("r_v"))).alias("dist")), "distances")
+    out = None
+    for method in lk.METHODS:
+        m = cl.fit_blocks(whole.select("row_id", "block"), d, method)
+        one = m.select(F.lit(method).alias("method"), "block", F.round(F.get("tree", F.lit(0))["height"], 6).alias("first_height"), F.round(F.get("tree", F.lit(1))["height"], 6).alias("second_height"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def flat_cuts(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters of every label's vectors by each criterion, from one average-linkage tree."""
+    m = cut(_model(spark, folder, "average"), "model")
+    kinds = {"distance": {"threshold": 0.9}, "n_clusters": {"n_clusters": 3}, "maxclust": {"threshold": 3, "criterion": "maxclust"}, "inconsistent": {"threshold": 0.5, "criterion": "inconsistent"}}
+    out = None
+    for kind, how in kinds.items():
+        one = cl.cut_blocks(m, **how).groupBy("block").agg(F.count_distinct("label").alias("n_clusters")).select(F.lit(kind).alias("criterion"), "block", "n_clusters")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 QUERIES = {
+    "linkage_heights": linkage_heights, "flat_cuts": flat_cuts,
     "b3_scores": b3_scores, "paired_scores": paired_scores, "merge_distance": merge_distance, "merge_distance_costs": merge_distance_costs, "silhouette": silhouette,
     "cluster_single_threshold": cluster_single_threshold, "cluster_average_threshold": cluster_average_threshold, "cluster_complete": cluster_complete,
     "cluster_average": cluster_average, "cluster_ward_count": cluster_ward_count, "threshold_search": threshold_search, "label_offsets": label_offsets,
@@ -143,3 +170,41 @@ w AS (SELECT block, max(local_label) + 1 AS k FROM b WHERE encode(block) < encod
 o AS (SELECT block, coalesce(sum(k) OVER (ORDER BY encode(block) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM w)
 SELECT row_id, b.block, CAST(CASE WHEN off IS NULL OR local_label < 0 THEN -1 ELSE local_label + off END AS BIGINT) AS label FROM b LEFT JOIN o ON o.block = b.block""",
 }
+
+def _agglomerate(height: str, until: str) -> str:
+    """CTEs ``v, d`` and ``done(block, id, c)``: clusters (named by their smallest row) merged pair by pair, nearest
+    first, while ``until`` holds; ``height`` is the linkage of two clusters over q (mean squares) and m, x of pairs."""
+    return f"""v AS MATERIALIZED (SELECT vec_id AS id, label AS block, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+d AS MATERIALIZED (SELECT a.block, a.id AS i, b.id AS j, CASE WHEN a.id = b.id THEN 0 ELSE 1 - coalesce(list_dot_product(a.v, b.v) / nullif(sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)), 0), 0) END AS dist FROM v a JOIN v b USING (block)),
+s AS (SELECT 0 AS step, block, id, id AS c FROM v
+  UNION ALL
+  SELECT step + 1, s.block, id, CASE WHEN c = g.pick.hi THEN g.pick.lo ELSE c END FROM s JOIN (
+    SELECT block, min_by(struct_pack(lo := lo, hi := hi), h) AS pick, min(h) AS h, max(k) AS k FROM (
+      SELECT o.block, o.lo, o.hi, {height} AS h, k FROM (
+        SELECT a.block, a.c AS lo, b.c AS hi, avg(dist) AS m, max(dist) AS x, avg(dist * dist) AS q, count(DISTINCT a.id) AS na, count(DISTINCT b.id) AS nb
+        FROM s a JOIN s b ON a.block = b.block AND a.c < b.c JOIN d ON d.i = a.id AND d.j = b.id GROUP BY ALL) o
+      JOIN (SELECT a.block, a.c, avg(dist * dist) AS q FROM s a JOIN s b ON a.block = b.block AND a.c = b.c JOIN d ON d.i = a.id AND d.j = b.id GROUP BY ALL) wa ON wa.block = o.block AND wa.c = lo
+      JOIN (SELECT a.block, a.c, avg(dist * dist) AS q FROM s a JOIN s b ON a.block = b.block AND a.c = b.c JOIN d ON d.i = a.id AND d.j = b.id GROUP BY ALL) wb ON wb.block = o.block AND wb.c = hi
+      JOIN (SELECT block, count(DISTINCT c) AS k FROM s GROUP BY 1) n ON n.block = o.block)
+    GROUP BY block) g ON g.block = s.block WHERE {until}),
+done AS (SELECT block, id, c FROM s JOIN (SELECT block, max(step) AS step FROM s GROUP BY 1) USING (block, step)),
+lab AS (SELECT id AS row_id, CAST(block AS BIGINT) AS block, CAST(dense_rank() OVER (PARTITION BY block ORDER BY c) - 1 AS BIGINT) AS label, c FROM done),
+wide AS (SELECT block, max(label) + 1 AS k FROM lab GROUP BY 1), off AS (SELECT block, coalesce(sum(k) OVER (ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM wide)"""
+
+
+_GLOBAL = "SELECT row_id, block, label, CAST(label + o AS BIGINT) AS global_label FROM lab JOIN off USING (block)"
+_WARD = "sqrt(2.0 * na * nb / (na + nb) * (o.q - wa.q / 2 - wb.q / 2))"
+SQL |= {
+    "cluster_complete": f"WITH RECURSIVE {_agglomerate('x', 'g.h <= 0.9')} {_GLOBAL}",
+    "cluster_average": f"WITH RECURSIVE {_agglomerate('m', 'g.h <= 0.9')} {_GLOBAL}",
+    "cluster_average_threshold": f"WITH RECURSIVE {_agglomerate('m', 'g.h <= 0.8')} SELECT row_id, block, c AS cluster FROM lab",
+    "cluster_ward_count": f"WITH RECURSIVE {_agglomerate(_WARD, 'g.k > 4')} SELECT row_id, block, label FROM lab",
+    "linkage_heights": """WITH v AS (SELECT vec_id AS id, CAST(floor(vec_id / 3) AS BIGINT) AS block, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+f AS (SELECT block FROM v GROUP BY 1 HAVING count(*) = 3),
+d AS (SELECT a.block, 1 - coalesce(list_dot_product(a.v, b.v) / nullif(sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)), 0), 0) AS x FROM v a JOIN v b ON a.block = b.block AND a.id < b.id WHERE a.block IN (SELECT block FROM f)),
+h AS (SELECT block, list_sort(list(x)) AS x FROM d GROUP BY 1),
+m AS (SELECT block, x[1] AS h, x[2] AS a, x[3] AS b FROM h),
+r AS (SELECT *, unnest([struct_pack(method := 'single', h2 := a), struct_pack(method := 'complete', h2 := b), struct_pack(method := 'average', h2 := (a + b) / 2), struct_pack(method := 'weighted', h2 := (a + b) / 2),
+  struct_pack(method := 'ward', h2 := sqrt((2 * a * a + 2 * b * b - h * h) / 3)), struct_pack(method := 'centroid', h2 := sqrt(greatest((a * a + b * b) / 2 - h * h / 4, 0))), struct_pack(method := 'median', h2 := sqrt(greatest((a * a + b * b) / 2 - h * h / 4, 0)))]) AS r FROM m)
+SELECT r.method AS method, block, round(h, 6) AS first_height, round(r.h2, 6) AS second_height FROM r""",
+}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from entiforge.functions import names as nm
+from entiforge.functions.phonetic import encode_tokens
 from entiforge.operators import blocking
 from entiforge.plans.skew_queries import SIGNATURE_SQL
 from entiforge.sources.tables import signatures, table
@@ -74,7 +75,14 @@ def block_single(spark: SparkSession, folder: str) -> DataFrame:
     return blocking.with_block(table(spark, folder, "signature"), "single").groupBy("block").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def soundex_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Code of each distinct name token."""
+    t = distinct_names(spark, folder).withColumn("t", nm.tokenize_name(F.col("author_name"))).select(F.explode(F.concat("t.surnames", "t.given")).alias("token"))
+    return encode_tokens(t, "token", "soundex")
+
+
 QUERIES = {
+    "soundex_codes": soundex_codes,
     "asciify": asciify,
     "normalize_name": normalize_name,
     "name_initials": name_initials,
@@ -162,3 +170,11 @@ x AS (SELECT *, count(*) OVER (PARTITION BY block) AS n, string_split(author_nam
 i AS (SELECT *, {_initial(0)} AS m0 FROM x)
 SELECT CASE WHEN n > {SPLIT_AT} THEN concat(block, {_fallback('m0')}) ELSE block END AS block, count(*) AS n_rows FROM i GROUP BY 1""",
 }
+
+_ONE_DIGIT = "d"
+for _digit in "0123456":
+    _ONE_DIGIT = f"regexp_replace({_ONE_DIGIT}, '{_digit}+', '{_digit}', 'g')"
+SQL["soundex_codes"] = f"""WITH k AS ({SQL["tokenize_name"]}), e AS (SELECT DISTINCT unnest(list_concat(string_split(surnames, '|'), string_split(given, '|'))) AS token FROM k),
+b AS (SELECT token, upper(regexp_replace(token, '[^a-z]', '', 'g')) AS w FROM e),
+x AS (SELECT token, w, translate(concat(substr(w, 1, 1), regexp_replace(substr(w, 2), '[HW]', '', 'g')), 'BFPVCGJKQSXZDTLMNRAEIOUYHW', '11112222222233455600000000') AS d FROM b)
+SELECT token, CASE WHEN w = '' THEN '' ELSE concat(substr(w, 1, 1), substr(concat(replace(substr({_ONE_DIGIT}, 2), '0', ''), '0000'), 1, 4)) END AS code FROM x"""

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from entiforge.functions import names as nm
 from entiforge.functions import strsim
 from entiforge.operators import features as ft
+from entiforge.operators import metrics as mt
 from entiforge.operators import pairs as pr
 from entiforge.operators import sampling
-from entiforge.plans.name_queries import _NAMES, distinct_names, sql_asciify, sql_normalized
+from entiforge.plans.lineage import cut
+from entiforge.plans.name_queries import _NAMES, _given, _initial, distinct_names, sql_asciify, sql_normalized
 from entiforge.plans.skew_queries import SIGNATURE_SQL
 from entiforge.sources.tables import labels, records, signatures, table
 
@@ -18,7 +20,7 @@ from entiforge.sources.tables import labels, records, signatures, table
 def _normal_names(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct normalised names with block and id: pairs are made between these, rows follow by membership."""
     n = distinct_names(spark, folder).select(nm.normalize_name(F.col("author_name")).alias("normal_name")).distinct().where("normal_name <> ''")
-    return n.select("normal_name", nm.block_last_name_first_initial(F.col("normal_name")).alias("lnfi"), F.substring_index("normal_name", " ", 1).alias("last"))
+    return n.select("normal_name", F.regexp_extract("normal_name", r"^\S+( \S)?", 0).alias("lnfi"), F.substring_index("normal_name", " ", 1).alias("last"))
 
 
 def pairs_within_block(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,25 +124,82 @@ def feature_getters(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def coauthors_range(spark: SparkSession, folder: str) -> DataFrame:
-    return _signature_records(spark, folder).where("author_name <> ''").select("signature_id", ft.coauthors_from_range(2).alias("near_authors"), ft.joined("authors").alias("all_authors"))
+    return _signature_records(spark, folder).where("author_name <> ''").select("signature_id", ft.coauthors_from_range().alias("near_authors"), ft.joined("authors").alias("all_authors"))
 
 
 def _truth(spark: SparkSession, folder: str) -> DataFrame:
     return signatures(spark, folder).join(labels(spark, folder).where("labels_true >= 0").select(F.col("row_id").alias("signature_id"), F.col("labels_true").alias("label")), "signature_id").select("signature_id", "label", "author_name")
 
 
+def _block_truth(spark: SparkSession, folder: str) -> DataFrame:
+    b = table(spark, folder, "block_clustering").where("blocks_ IS NOT NULL").select("signature_id", F.col("blocks_").alias("block"))
+    return _truth(spark, folder).join(b, "signature_id")
+
+
 def pair_categories(spark: SparkSession, folder: str) -> DataFrame:
-    c = sampling.categorize(table(spark, folder, "pairs").select("l_id", "r_id"), _truth(spark, folder))
+    """All pairs of labelled signatures within a block, by category."""
+    c = sampling.categorized_block_pairs(_block_truth(spark, folder))
     return c.groupBy("category", "target").agg(F.count(F.lit(1)).alias("n_pairs"))
 
 
+SAMPLE = 400
+
+
 def sample_balanced(spark: SparkSession, folder: str) -> DataFrame:
-    c = sampling.categorize(table(spark, folder, "pairs").select("l_id", "r_id"), _truth(spark, folder))
-    return sampling.sample_balanced(c, 400)
+    """A balanced sample of the pairs within blocks."""
+    return sampling.sample_balanced(sampling.categorized_block_pairs(_block_truth(spark, folder)), SAMPLE).select("l_id", "r_id", "target", "category")
+
+
+def sample_unbalanced(spark: SparkSession, folder: str) -> DataFrame:
+    """A sample of the pairs within blocks, half of one author, half of two."""
+    return sampling.sample_unbalanced(sampling.categorized_block_pairs(_block_truth(spark, folder)), SAMPLE).select("l_id", "r_id", "target", "category")
 
 
 def sample_noblocking(spark: SparkSession, folder: str) -> DataFrame:
-    return sampling.sample_without_blocking(_truth(spark, folder), 400)
+    return sampling.sample_without_blocking(_truth(spark, folder), SAMPLE)
+
+
+def sample_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """What the samples must hold: rows by kind, and how many contradict the labels or the blocks."""
+    truth = cut(_block_truth(spark, folder), "block_truth")
+    own = lambda p: truth.select(F.col("signature_id").alias(f"{p}_id"), F.col("label").alias(f"{p}_label"), F.col("author_name").alias(f"{p}_name"), F.col("block").alias(f"{p}_block"))
+    out = None
+    for kind, rows in (("balanced", sample_balanced(spark, folder).withColumn("part", F.col("category"))), ("unbalanced", sample_unbalanced(spark, folder).withColumn("part", F.col("target").cast("string")))):
+        j = rows.join(own("l"), "l_id").join(own("r"), "r_id")
+        name = F.when(F.col("l_label") == F.col("r_label"), "sa").otherwise("da")
+        name = F.concat(name, F.when(F.col("l_name").eqNullSafe(F.col("r_name")), "sn").otherwise("dn"))
+        wrong = (name != F.col("category")) | (F.col("l_block") != F.col("r_block")) | (F.col("target") != F.when(F.col("l_label") == F.col("r_label"), 0).otherwise(1)) | (F.col("l_id") >= F.col("r_id"))
+        one = j.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(wrong.cast("bigint")).alias("n_wrong")).select(F.lit(kind).alias("kind"), "part", "n_rows", "n_wrong")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def tfidf_char_wb(spark: SparkSession, folder: str) -> DataFrame:
+    """Titles of citing and cited records by character n-grams within words."""
+    t = records(spark, folder).select("publication_id", F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), "[^a-z ]", " ").alias("title"))
+    return ft.sparse_cosine(_cited(spark, folder), "l_id", "r_id", ft.tfidf(t, "publication_id", "title", "char_wb"), "publication_id").withColumn("cosine", F.round("cosine", 6))
+
+
+def vector_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return _vector_pairs(spark, folder).select("l_id", "r_id", F.round(pr.jaccard_vectors(F.col("l"), F.col("r")), 6).alias("jaccard"))
+
+
+def transformed_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """A function applied element by element, and the first eight places reshaped, read by rows and by columns."""
+    v = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
+    squares = pr.func_transformer(F.col("v"), lambda x: x * x)
+    pair = F.array(F.slice("v", 1, 4), F.slice("v", 5, 4))
+    rows, columns = (pr.reshape(pair, 4, 2, order) for order in "CF")
+    return v.select("vec_id", F.round(add(squares), 6).alias("squares"), F.round(add(rows[1]), 6).alias("second_by_rows"), F.round(add(columns[1]), 6).alias("second_by_columns"))
+
+
+def silhouette_precomputed(spark: SparkSession, folder: str) -> DataFrame:
+    """Silhouette of the keys (surname and initial) of the distinct names, from the edit distances within surnames."""
+    named = cut(_normal_names(spark, folder), "normal")
+    p = pr.block_pairs(named, "last", "normal_name", [])
+    d = p.select(F.col("l_normal_name").alias("i"), F.col("r_normal_name").alias("j"), strsim.levenshtein(F.col("l_normal_name"), F.col("r_normal_name")).cast("double").alias("dist"))
+    return mt.silhouette(d, named.select(F.col("normal_name").alias("id"), F.col("lnfi").alias("label"))).select(F.round("silhouette", 6).alias("silhouette"))
 
 
 QUERIES = {
@@ -148,6 +207,8 @@ QUERIES = {
     "string_jaro_compact": string_jaro_compact, "char_equality": char_equality, "pair_cosine": pair_cosine, "pair_absdiff": pair_absdiff, "pair_elemmul": pair_elemmul,
     "pair_threshold": pair_threshold, "pair_jaccard": pair_jaccard, "tfidf_cosine": tfidf_cosine, "year_diff": year_diff, "feature_getters": feature_getters,
     "coauthors_range": coauthors_range, "pair_categories": pair_categories, "sample_balanced": sample_balanced, "sample_noblocking": sample_noblocking,
+    "sample_unbalanced": sample_unbalanced, "sample_sizes": sample_sizes, "tfidf_char_wb": tfidf_char_wb, "vector_jaccard": vector_jaccard, "transformed_vectors": transformed_vectors,
+    "silhouette_precomputed": silhouette_precomputed,
 }
 
 _DN = f"(SELECT DISTINCT v FROM {sql_normalized(_NAMES)} WHERE v <> '')"
@@ -157,12 +218,15 @@ pw AS (SELECT a.last, a.v AS l_name, b.v AS r_name, levenshtein(a.v, b.v) AS dis
 _NP = f"""{SIGNATURE_SQL}, x AS MATERIALIZED (SELECT signature_id, {sql_asciify("coalesce(author_name, '')")} AS n FROM sig),
 np AS (SELECT l_id, r_id, a.n AS a, b.n AS b FROM pairs JOIN x a ON a.signature_id = l_id JOIN x b ON b.signature_id = r_id)"""
 _VP = """vp AS (SELECT a.vec_id AS l_id, b.vec_id AS r_id, CAST(a.embedding AS DOUBLE[]) AS l, CAST(b.embedding AS DOUBLE[]) AS r
-  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id AND b.vec_id <= a.vec_id + 40)"""
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)"""
 _COS = "round(list_dot_product(l, r) / nullif(sqrt(list_dot_product(l, l)) * sqrt(list_dot_product(r, r)), 0), 6)"
 _REC = "rec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY publication_id) AS rn FROM pub_record) WHERE rn = 1)"
 _CITED = f"{_REC}, cited AS (SELECT DISTINCT publication_id AS l_id, unnest(reference_ids) AS r_id FROM rec)"
 _TRUTH = f"""{SIGNATURE_SQL}, lab AS (SELECT row_id, max(labels_true) AS label FROM metric_labels GROUP BY 1),
 truth AS (SELECT signature_id, label, author_name FROM sig JOIN lab ON row_id = signature_id WHERE label >= 0)"""
+_BLOCK_PAIRS = f"""{_TRUTH}, bt AS MATERIALIZED (SELECT truth.*, blocks_ AS block FROM truth JOIN block_clustering USING (signature_id) WHERE blocks_ IS NOT NULL),
+bp AS (SELECT concat(CASE WHEN a.label = b.label THEN 'sa' ELSE 'da' END, CASE WHEN a.author_name IS NOT DISTINCT FROM b.author_name THEN 'sn' ELSE 'dn' END) AS category,
+  CASE WHEN a.label = b.label THEN 0 ELSE 1 END AS target FROM bt a JOIN bt b ON a.block = b.block AND a.signature_id < b.signature_id)"""
 _AT = "CASE WHEN author_name IS NULL THEN 0 ELSE coalesce(list_position(authors, author_name), 0) END"
 
 SQL = {
@@ -190,8 +254,41 @@ SELECT l_id, r_id, round(coalesce(s, 0), 6) AS cosine FROM cited LEFT JOIN c USI
     "year_diff": f"""WITH {_CITED}, y AS (SELECT publication_id AS id, CASE WHEN coalesce(pub_year, 0) = 0 THEN -1 ELSE pub_year END AS y FROM rec)
 SELECT l_id, r_id, abs(a.y - b.y) AS difference FROM cited JOIN y a ON a.id = l_id JOIN y b ON b.id = r_id""",
     "coauthors_range": f"""WITH {SIGNATURE_SQL}, {_REC}, j AS (SELECT signature_id, author_name, rec.authors, {_AT} AS own FROM sig JOIN rec USING (publication_id) WHERE author_name <> '')
-SELECT signature_id, array_to_string(CASE WHEN own > 0 THEN authors[greatest(1, own - 2):least(len(authors), own + 1)] ELSE authors END, ' ') AS near_authors,
+SELECT signature_id, array_to_string(CASE WHEN own > 0 THEN authors[greatest(1, own - 10):least(len(authors), own + 9)] ELSE authors END, ' ') AS near_authors,
   array_to_string(authors, ' ') AS all_authors FROM j""",
-    "pair_categories": f"""WITH {_TRUTH} SELECT concat(CASE WHEN a.label = b.label THEN 'sa' ELSE 'da' END, CASE WHEN a.author_name IS NOT DISTINCT FROM b.author_name THEN 'sn' ELSE 'dn' END) AS category,
-  CASE WHEN a.label = b.label THEN 0 ELSE 1 END AS target, count(*) AS n_pairs FROM pairs JOIN truth a ON a.signature_id = l_id JOIN truth b ON b.signature_id = r_id GROUP BY ALL""",
+    "pair_categories": f"""WITH {_BLOCK_PAIRS} SELECT category, target, count(*) AS n_pairs FROM bp GROUP BY ALL""",
+    "sample_sizes": f"""WITH {_BLOCK_PAIRS}, c AS (SELECT category, target, count(*) AS n FROM bp GROUP BY ALL)
+SELECT 'balanced' AS kind, category AS part, CAST({SAMPLE // 4} AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_wrong FROM c
+UNION ALL SELECT 'unbalanced', CAST(target AS VARCHAR), CAST(least({SAMPLE // 2}, sum(n)) AS BIGINT), 0 FROM c GROUP BY target""",
+    "tfidf_char_wb": f"""WITH {_CITED}, w AS (SELECT publication_id AS id, unnest(list_filter(string_split(regexp_replace(lower(coalesce(title, '')), '[^a-z]+', ' ', 'g'), ' '), lambda x: x <> '')) AS word FROM rec),
+p AS (SELECT id, concat(' ', word, ' ') AS p FROM w), g AS (SELECT id, p, unnest([2, 3, 4]) AS n FROM p),
+t AS (SELECT id, substr(p, CAST(unnest(range(1, length(p) - n + 2)) AS BIGINT), n) AS term FROM g WHERE length(p) >= n),
+tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+raw AS (SELECT id, term, tf * (ln((1 + (SELECT count(*) FROM rec)) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term)),
+v AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM raw),
+c AS (SELECT l_id, r_id, sum(a.w * b.w) AS s FROM cited JOIN v a ON a.id = l_id JOIN v b ON b.id = r_id AND a.term = b.term GROUP BY ALL)
+SELECT l_id, r_id, round(coalesce(s, 0), 6) AS cosine FROM cited LEFT JOIN c USING (l_id, r_id)""",
+    "vector_jaccard": f"""WITH {_VP}, n AS (SELECT l_id, r_id, len(list_filter(list_zip(l, r), lambda x: x[1] > 0 AND x[2] > 0)) AS b, len(list_filter(list_zip(l, r), lambda x: x[1] > 0 OR x[2] > 0)) AS e FROM vp)
+SELECT l_id, r_id, CASE WHEN e = 0 THEN 0.0::DOUBLE ELSE round(b / e, 6) END AS jaccard FROM n""",
+    "transformed_vectors": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+SELECT vec_id, round(list_dot_product(v, v), 6) AS squares, round(v[3] + v[4], 6) AS second_by_rows, round(v[5] + v[7], 6) AS second_by_columns FROM v""",
+    "silhouette_precomputed": f"""WITH {_PW}, k AS (SELECT v AS id, regexp_extract(v, '^\\S+( \\S)?', 0) AS label FROM n),
+d AS (SELECT l_name AS i, r_name AS j, distance FROM pw UNION ALL SELECT r_name, l_name, distance FROM pw),
+m AS (SELECT i, a.label, b.label AS other, avg(distance) AS m FROM d JOIN k a ON a.id = i JOIN k b ON b.id = j GROUP BY ALL),
+s AS (SELECT i, max(CASE WHEN label = other THEN m END) AS a, min(CASE WHEN label <> other THEN m END) AS b FROM m GROUP BY 1)
+SELECT round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) AS silhouette FROM k LEFT JOIN s ON i = id""",
+    "feature_getters": f"""WITH {SIGNATURE_SQL}, {_REC}, f AS MATERIALIZED {sql_normalized(_NAMES)},
+af AS MATERIALIZED {sql_normalized("(SELECT DISTINCT author_affiliation FROM signature WHERE author_affiliation IS NOT NULL)", "author_affiliation")},
+o AS MATERIALIZED {sql_normalized("(SELECT DISTINCT substr(author_name, instr(author_name, ',') + 1) AS other FROM signature WHERE instr(author_name, ',') > 0)", "other")},
+j AS (SELECT signature_id, coalesce(sig.author_name, '') AS author_name, sig.author_name AS stored, coalesce(author_affiliation, '') AS author_affiliation, rec.* EXCLUDE (publication_id, rn) FROM sig JOIN rec USING (publication_id)),
+x AS (SELECT *, string_split(author_name, ',')[2] AS part, string_split(author_name, ' ')[1] AS word, CASE WHEN stored IS NULL THEN 0 ELSE coalesce(list_position(authors, stored), 0) END AS own FROM j),
+y AS (SELECT *, {_given(0)} AS first_given, {_given(1)} AS second_given, list_sort(list_distinct(list_transform(list_filter(regexp_split_to_array(author_name, '\\s+'), lambda w: w <> ''), lambda w: substr(w, 1, 1)))) AS letters FROM x)
+SELECT signature_id, CASE WHEN y.author_name = '' THEN '' ELSE f.v END AS full_name, {_initial(1)} AS second_initial, first_given, second_given,
+  CASE WHEN instr(y.author_name, ',') > 0 THEN o.v ELSE '' END AS other_names, CASE WHEN y.author_affiliation = '' THEN '' ELSE af.v END AS affiliation,
+  array_to_string(CASE WHEN authors IS NULL THEN [] WHEN own > 0 THEN authors[greatest(1, own - 10):least(len(authors), own + 9)] ELSE authors END, ' ') AS coauthors,
+  coalesce(title, '') AS title, coalesce(journal, '') AS journal, coalesce(abstract, '') AS abstract, coalesce(array_to_string(keywords, ' '), '') AS keywords,
+  coalesce(array_to_string(collaborations, ' '), '') AS collaborations, coalesce(array_to_string(topics, ' '), '') AS topics,
+  CASE WHEN coalesce(pub_year, 0) = 0 THEN -1 ELSE pub_year END AS year, string_split(string_split(y.author_name, ' ')[1], ',')[1] AS surname,
+  coalesce(array_to_string(list_transform(reference_ids, lambda r: CAST(r AS VARCHAR)), ' '), '') AS references, coalesce(array_to_string(authors, ' '), '') AS coauthors_all
+FROM y LEFT JOIN f ON f.author_name = y.author_name LEFT JOIN af ON af.author_affiliation = y.author_affiliation LEFT JOIN o ON o.other = substr(y.author_name, instr(y.author_name, ',') + 1)""",
 }

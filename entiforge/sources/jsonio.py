@@ -18,10 +18,27 @@ def _keyed(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
     return rows.groupBy(F.col(f"x.{key}").alias("__key")).agg(F.max_by("x", "pos").alias("x")).select("x.*")
 
 
-def load_signatures(spark: SparkSession, signature_file: str, record_file: str) -> DataFrame:
-    """Signatures with their record as the nested column ``publication``; a missing record raises."""
-    s, r = _keyed(spark, signature_file, SIGNATURE, "signature_id"), _keyed(spark, record_file, RECORD, "publication_id")
-    return attach_records(s, r)
+def _lines(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """One object a line, in any number of files, each split over tasks; of a repeated key the greatest object stays
+    (lines of several files have no order)."""
+    rows = spark.read.schema(schema).json(path)
+    whole = F.struct(*rows.columns)
+    return rows.groupBy(key).agg(F.max(whole).alias("x")).select("x.*")
+
+
+def load_signatures(spark: SparkSession, signature_file: str, record_file: str, lines: bool = False) -> DataFrame:
+    """Signatures with their record as the nested column ``publication``; a missing record raises.  A JSON document is
+    one value and is parsed in one task; ``lines`` reads the form that is split."""
+    read = _lines if lines else _keyed
+    return attach_records(read(spark, signature_file, SIGNATURE, "signature_id"), read(spark, record_file, RECORD, "publication_id"))
+
+
+def read_train_ids(spark: SparkSession, path: str) -> DataFrame:
+    """``(row_id)`` of the distinct ids in a JSON array of ids, or of objects with ``signature_id``."""
+    text = spark.read.text(path, wholetext=True).select("value")
+    plain = text.select(F.explode(F.from_json("value", "array<bigint>")).alias("row_id"))
+    keyed = text.select(F.explode(F.from_json("value", "array<struct<signature_id bigint>>")).alias("x")).select(F.col("x.signature_id").alias("row_id"))
+    return plain.unionByName(keyed).where("row_id IS NOT NULL").distinct()
 
 
 def attach_records(signatures: DataFrame, records: DataFrame) -> DataFrame:
@@ -53,9 +70,21 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_npz(spark: SparkSession, path: str) -> DataFrame:
-    """``(row_id, features, y)`` of the arrays ``X`` and ``y`` of a local file; arrays of objects are refused."""
-    import numpy as np
+    """``(row_id, features, y)`` of the arrays ``X`` and ``y`` of NPZ files; arrays of objects are refused.  Files are
+    read by the tasks, one after the other in a task, and never by the driver; ``row_id`` counts within a file."""
+
+    def run(batches):
+        import io
+
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            for content in pdf["content"]:
+                with np.load(io.BytesIO(content), allow_pickle=False) as z:
+                    x, y = z["X"], z["y"]
+                for at in range(0, len(y), 10_000):
+                    part = x[at : at + 10_000]
+                    yield pd.DataFrame({"row_id": np.arange(at, at + len(part)), "features": list(np.atleast_2d(part.reshape(len(part), -1)).astype("float64")), "y": y[at : at + 10_000].astype("int64")})
 
-    with np.load(path, allow_pickle=False) as z:
-        rows = [(i, [float(v) for v in np.atleast_1d(x)], int(y)) for i, (x, y) in enumerate(zip(z["X"], z["y"]))]
-    return spark.createDataFrame(rows, "row_id bigint, features array<double>, y bigint")
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "row_id bigint, features array<double>, y bigint")

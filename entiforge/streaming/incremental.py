@@ -25,7 +25,11 @@ class BlockStore:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={version}")
 
     def put(self, df: DataFrame, version: int) -> None:
+        """Writes a version; the one before stays, for a replayed batch reads it, older ones are deleted."""
         df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        sc = self.spark.sparkContext
+        old = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={version - 2}")
+        old.getFileSystem(sc._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def partial_fit(batch: DataFrame, state: DataFrame, cluster: Callable[[DataFrame], DataFrame], block: str = "block", row_id: str = "row_id") -> DataFrame:

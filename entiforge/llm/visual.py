@@ -67,8 +67,11 @@ def form_expression(column: str) -> str:
     src, dst = (x.replace("'", "''") for x in _translation())
     e = f"regexp_replace({column}, '{INVISIBLE}', '', 'g')"
     e = f"translate({e}, '{src}', '{dst}')"
-    for lig, letters in _compatibility()[1].items():
-        e = f"replace({e}, '{lig}', '{letters}')"
+    several = _compatibility()[1]
+    written_out = e
+    for lig, letters in several.items():
+        written_out = f"replace({written_out}, '{lig}', '{letters}')"
+    e = f"CASE WHEN regexp_matches({column}, '[{''.join(several)}]') THEN {written_out} ELSE {e} END"
     e = f"nfc_normalize({e})"
     # a base letter from another script may only now, composed, have become one letter with its accent
     e = f"translate({e}, '{src}', '{dst}')"

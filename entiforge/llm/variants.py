@@ -2,12 +2,12 @@
 
 Noisy-channel attribution.  Names are first freed of encoding damage and look-alike characters, folded and parsed into
 surname and given-name tokens.  Distinct parsed names meet through their surname tokens and the tokens one deletion
-away; a channel model gives the log likelihood that one is an abbreviated, mistyped, re-ordered, nicknamed or extended
-form of the other.  Within a context - the institution, or a shared co-author - each spelling is attached to the
-candidate canonical form with the highest posterior (log likelihood plus log frequency); a spelling has one parent, so
-an initial never merges two people whose full names differ.  Mentions without an institution, and single mentions from
-elsewhere, are attributed by the name alone where one entity holds the majority of that name.  Attachments form a
-forest, whose trees are the entities.
+away; a channel says by which changes - abbreviation, typo, nickname, order, a part left out - one can come from the
+other.  Which short forms stand for which names, and how likely each change is, is learned from spellings that take
+turns at one institution.  Within a context - the institution, or a co-author the name would not meet by chance - each
+spelling is attached to the candidate canonical form with the highest posterior (log likelihood plus log frequency); a
+spelling has one parent, so an initial never merges two people whose full names differ.  Mentions that no context
+places go to the entity that holds most of the posterior of their name, where it holds enough of it.
 
 Scale: work is on distinct names and distinct (name, institution) nodes, so a hot name is one row; nothing is
 collected; pairs are only made between different spellings of one entity.
@@ -18,6 +18,7 @@ are "no institution"; texts of any length are parsed whole.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -31,22 +32,13 @@ from pyspark.sql import types as T
 from entiforge.llm.encoding import restore_names
 from entiforge.llm.visual import LOOK_ALIKE, name_forms
 from entiforge.operators.components import connected_components
-from entiforge.operators.hotkeys import heavy_hitters
+from entiforge.operators.hotkeys import hot_keys, salted
 from entiforge.plans.lineage import cut
 
-# Particles and suffixes that come and go, formal names and their short forms, transliteration of Cyrillic
-# letters, and letters that decomposition leaves whole.
+# Particles and suffixes that come and go, transliteration of Cyrillic letters, and letters that
+# decomposition leaves whole.
 PARTICLES = set("van von der de la du den del di da dos das le el al bin ter".split())
 SUFFIXES = set("jr sr ii iii iv".split())
-SHORT_FORMS = {
-    "alexander": "alex sasha sascha xander sandy", "andrew": "andy drew", "anthony": "tony", "charles": "charlie chuck", "concepcion": "concha",
-    "daniel": "dan danny", "deborah": "deb debbie", "dmitri": "dima", "edward": "ed eddie ted ned", "ekaterina": "katya", "elizabeth": "liz beth betty lisa eliza",
-    "francisco": "paco pancho", "friedrich": "fritz", "giuseppe": "beppe", "gregory": "greg", "heinrich": "heiner heinz", "ignacio": "nacho",
-    "james": "jim jamie jimmy", "johannes": "hans", "jonathan": "jon", "jose": "pepe", "joseph": "joe joey", "katherine": "kate kathy katie", "margaret": "maggie peggy meg",
-    "michael": "mike mick", "mikhail": "misha", "nicholas": "nick", "patricia": "pat trish patty", "philippa": "pippa", "rebecca": "becky", "richard": "rick richie dick",
-    "robert": "bob rob bobby", "roberto": "beto", "samuel": "sam", "susan": "sue suzy", "theodore": "theo ted", "thomas": "tom tommy", "victoria": "vicky", "wilhelmina": "mina",
-    "william": "bill will billy", "stefan": "steve", "theodor": "ted theo", "sofya": "sonya", "pavel": "pasha", "ivan": "vanya",
-}
 CYRILLIC = {
     "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "e", "ж": "zh", "з": "z", "и": "i", "й": "i", "к": "k", "л": "l", "м": "m", "н": "n",
     "о": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "u", "ф": "f", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ъ": "", "ы": "y", "ь": "",
@@ -54,10 +46,6 @@ CYRILLIC = {
 }
 WHOLE = {"ø": "o", "ł": "l", "æ": "ae", "œ": "oe", "ß": "ss", "ð": "d", "þ": "th", "đ": "d", "ı": "i"}
 
-_FORMAL: dict[str, tuple[str, ...]] = {}
-for _formal, _shorts in SHORT_FORMS.items():
-    for _short in _shorts.split():
-        _FORMAL[_short] = (*_FORMAL.get(_short, ()), _formal)
 _TO_LATIN = str.maketrans({a: f for f, alikes in LOOK_ALIKE.items() for a in alikes})
 _TO_CYRILLIC = str.maketrans({f: a for f, alikes in LOOK_ALIKE.items() for a in reversed(alikes) if "Ѐ" <= a <= "ӿ" and f.isascii() and f.isalpha() and a not in "ӏӀ"})
 _LOOKS_LATIN = {a for alikes in LOOK_ALIKE.values() for a in alikes}
@@ -121,72 +109,104 @@ def _near(a: str, b: str) -> bool:
     return long[i + 1 :] == short[i:]
 
 
-_LOG = {"initial": -1.0, "joined": -1.2, "nick": -1.5, "typo": -3.0, "shape": -2.0, "middle": -0.7, "part": -3.0, "bare": -2.5}
-
-
-@lru_cache(1 << 18)
-def _token_cost(a: str, b: str) -> float | None:
-    if a == b:
-        return 0.0
-    fa, fb = {a, *_FORMAL.get(a, ())}, {b, *_FORMAL.get(b, ())}
-    if len(a) == 1 or len(b) == 1:
-        return _LOG["initial"] if {f[0] for f in fa} & {f[0] for f in fb} else None
-    if fa & fb:
-        return _LOG["nick"]
-    if skeleton(a) == skeleton(b):
-        return _LOG["shape"]
-    if min(len(a), len(b)) >= 3 and (_near(a, b) or any(_near(f, g) for f in fa for g in fb if min(len(f), len(g)) > 3) or _near(skeleton(a), skeleton(b)) and min(len(a), len(b)) > 4):
-        return _LOG["typo"]
-    return None
-
-
-def _aligned(a: list[str], b: list[str]) -> float | None:
-    total = 0.0
-    for x, y in zip(a, b):
-        c = _token_cost(x, y)
-        if c is None:
-            return None
-        total += c
-    return total + _LOG["middle"] * abs(len(a) - len(b))
-
-
-def given_cost(a: str, b: str) -> float | None:
-    """Channel cost between two given-name parts (tokens separated by blanks)."""
-    if a == b:
-        return 0.0
-    x, y = a.split(), b.split()
-    if not x or not y:
-        return _LOG["bare"]
-    best = _aligned(x, y)
-    for p, q in ((x, y), (y, x)):
-        # joined initials: "jp" for "jean pierre"
-        if len(p) == 1 and 2 <= len(p[0]) <= 3 and len(q) >= 2:
-            c = _aligned(list(p[0]), q)
-            if c is not None and (best is None or c + _LOG["joined"] > best):
-                best = c + _LOG["joined"]
-    return best
-
-
-def surname_cost(a: str, b: str) -> float | None:
-    if a == b:
-        return 0.0
-    x, y = a.split(), b.split()
-    if len(x) == len(y):
-        costs = [_token_cost(p, q) if len(p) > 1 and len(q) > 1 else (0.0 if p == q else None) for p, q in zip(x, y)]
-        if None not in costs:
-            return sum(costs)
-        x2, y2 = sorted(x), sorted(y)
-        return -1.0 if x2 == y2 else None
-    short, long = (x, y) if len(x) < len(y) else (y, x)
-    costs = [max((c for q in long if len(q) > 1 and (c := _token_cost(p, q)) is not None), default=None) for p in short]
-    return None if None in costs else sum(costs) + _LOG["part"]
+#: Ways in which one spelling comes from another; how likely each is, is counted in the corpus (:func:`learned_costs`).
+KINDS = ("initial", "joined", "nick", "typo", "shape", "middle", "part", "bare", "order")
+
+
+class Channel:
+    """What was done to one name to give another, as kinds of changes; ``forms`` are learned short forms,
+    short -> formal names."""
+
+    def __init__(self, forms: dict[str, tuple[str, ...]]):
+        self.forms = forms
+        self.token = lru_cache(1 << 18)(self._token)
+
+    def written_out(self, token: str) -> set[str]:
+        return {token, *self.forms.get(token, ())}
+
+    def _token(self, a: str, b: str) -> tuple[str, ...] | None:
+        if a == b:
+            return ()
+        fa, fb = self.written_out(a), self.written_out(b)
+        if len(a) == 1 or len(b) == 1:
+            return ("initial",) if {f[0] for f in fa} & {f[0] for f in fb} else None
+        if fa & fb:
+            return ("nick",)
+        sa, sb = skeleton(a), skeleton(b)
+        if sa == sb:
+            return ("shape",)
+        if min(len(a), len(b)) >= 3 and (_near(a, b) or min(len(a), len(b)) > 4 and _near(sa, sb)):
+            return ("typo",)
+        if any(min(len(f), len(g)) > 3 and _near(f, g) for f in fa for g in fb):
+            return ("nick", "typo")
+        return None
+
+    def _aligned(self, a: list[str], b: list[str]) -> tuple[str, ...] | None:
+        kinds: tuple[str, ...] = ()
+        for x, y in zip(a, b):
+            k = self.token(x, y)
+            if k is None:
+                return None
+            kinds += k
+        return kinds + ("middle",) * abs(len(a) - len(b))
+
+    def given(self, a: str, b: str) -> tuple[str, ...] | None:
+        """Changes between two given-name parts (tokens separated by blanks)."""
+        if a == b:
+            return ()
+        x, y = a.split(), b.split()
+        if not x or not y:
+            return ("bare",)
+        best = self._aligned(x, y)
+        for p, q in ((x, y), (y, x)):
+            # joined initials: "jp" for "jean pierre"
+            if len(p) == 1 and 2 <= len(p[0]) <= 3 and len(q) >= 2:
+                k = self._aligned(list(p[0]), q)
+                if k is not None and (best is None or len(k) + 1 < len(best)):
+                    best = ("joined",)
+        return best
+
+    def surname(self, a: str, b: str) -> tuple[str, ...] | None:
+        if a == b:
+            return ()
+        x, y = a.split(), b.split()
+        if len(x) == len(y):
+            each = [self.token(p, q) if len(p) > 1 and len(q) > 1 else (() if p == q else None) for p, q in zip(x, y)]
+            if None not in each:
+                return tuple(k for kinds in each for k in kinds)
+            return ("order",) if sorted(x) == sorted(y) else None
+        short, long = (x, y) if len(x) < len(y) else (y, x)
+        kinds: tuple[str, ...] = ("part",)
+        for p in short:
+            fits = [k for q in long if len(q) > 1 and (k := self.token(p, q)) is not None]
+            if not fits:
+                return None
+            kinds += min(fits, key=len)
+        return kinds
+
+    def changes(self, sur_a: str, given_a: str, sur_b: str, given_b: str) -> tuple[str, ...] | None:
+        s = self.surname(sur_a, sur_b)
+        g = self.given(given_a, given_b) if s is not None else None
+        return None if g is None else s + g
+
+    def meeting_keys(self, given: str) -> list[str]:
+        """Keys of which two given-name parts share one whenever :meth:`given` finds changes between them: the initial
+        of each form, and what is left of the first token when its first letter is the one mistyped."""
+        if not given:
+            return [""]
+        first = given.split()[0]
+        keys = {skeleton(f)[0] for f in self.written_out(first)} | {f[0] for f in self.written_out(first)}
+        for f in self.written_out(first):
+            if len(f) >= 3:
+                keys |= {"~" + f, "~" + f[1:], "~" + "".join(sorted(f[:2])) + f[2:]}
+        return sorted(keys)
 
 
 def _deletions(col: Column) -> Column:
-    """Hashes of a token and, from five letters on, of the token less any one letter."""
+    """Hashes of a token and, from three letters on, of the token less any one letter."""
     n = F.length(col)
     less = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.concat(F.substring(col, F.lit(1), i - 1), F.substring(col, i + 1, n))))
-    return F.array_distinct(F.concat(F.array(F.xxhash64(col)), F.when(n >= 5, less).otherwise(F.array().cast("array<bigint>"))))
+    return F.array_distinct(F.concat(F.array(F.xxhash64(col)), F.when(n >= 3, less).otherwise(F.array().cast("array<bigint>"))))
 
 
 def parsed_names(rows: DataFrame, column: str = "author_name") -> DataFrame:
@@ -225,12 +245,40 @@ def parsed_names(rows: DataFrame, column: str = "author_name") -> DataFrame:
     return repaired.join(keyed, "restored").select(column, "sur", "given", F.xxhash64("sur", "given").alias("key"))
 
 
-def spelling_pairs(keys: DataFrame) -> DataFrame:
-    """``(key_v, key_c, ll)``: ``key_v`` can be a variant of the more canonical ``key_c``; ``keys`` has ``key, sur,
-    given, n`` once a key.
+def learned_forms(nodes: DataFrame, keys: DataFrame, least: int = 2, lift: float = 10.0, size: int = 1 << 16) -> dict[str, tuple[str, ...]]:
+    """``short form -> formal names`` from the corpus: first given names that take turns under one surname at one
+    institution.
 
-    Surname tokens meet by hashes of their deletions, keys by a shared or near token; a near (not equal) surname also
-    needs the same initial of the formal given name.
+    Only places with exactly two given names are counted, where it is plain which two belong together; a pair is kept
+    that is met ``least`` times and ``lift`` times as often as chance would have it.  The rarer of the two is the short
+    form.  The table that reaches the driver holds the ``size`` most frequent pairs, as a vocabulary does.
+    """
+    first = F.substring_index("given", " ", 1)
+    held = nodes.where("inst IS NOT NULL").select("key", "inst").distinct().join(keys.select("key", "sur", "given"), "key")
+    places = held.where(F.length(first) > 1).select("sur", "inst", first.alias("t")).distinct()
+    two = cut(places.groupBy("sur", "inst").agg(F.min("t").alias("x"), F.max("t").alias("y"), F.count(F.lit(1)).alias("k")).where("k = 2").select("x", "y"), "two")
+    single = two.select(F.col("x").alias("t")).unionAll(two.select("y")).groupBy("t").agg(F.count(F.lit(1)).alias("c"))
+    met = two.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= least) & (F.levenshtein("x", "y") > 1))
+    met = met.join(single.select(F.col("t").alias("x"), F.col("c").alias("cx")), "x").join(single.select(F.col("t").alias("y"), F.col("c").alias("cy")), "y")
+    total = two.agg(F.count(F.lit(1)).alias("n"))
+    often = met.where(F.col("n") * 2 * total.scalar() >= lift * F.col("cx") * F.col("cy"))
+    # how often a name is used at all says which of the two is the formal one
+    used = places.groupBy("t").agg(F.count(F.lit(1)).alias("u"))
+    sided = often.join(used.select(F.col("t").alias("x"), F.col("u").alias("ux")), "x").join(used.select(F.col("t").alias("y"), F.col("u").alias("uy")), "y")
+    out: dict[str, tuple[str, ...]] = {}
+    for r in sided.orderBy(F.desc("n"), "x", "y").limit(size).collect():
+        short, formal = (r.x, r.y) if (r.ux, len(r.x), r.x) < (r.uy, len(r.y), r.y) else (r.y, r.x)
+        out[short] = (*out.get(short, ()), formal)
+    return out
+
+
+def spelling_pairs(keys: DataFrame, forms: dict[str, tuple[str, ...]]) -> DataFrame:
+    """``(key_v, key_c, n_v, n_c, kinds)``: ``key_v`` can be a variant of the more canonical ``key_c`` by these changes;
+    ``keys`` has ``key, sur, given, n`` once a key.
+
+    Surname tokens meet by hashes of their deletions; keys meet by a shared or near token together with a key of their
+    given names, so namesakes of one surname with other given names are never paired.  A name without a given name
+    meets all of its surname.
     """
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -238,46 +286,58 @@ def spelling_pairs(keys: DataFrame) -> DataFrame:
         # the token as typed and what is left of it: either may be the one that is an edit away
         return tokens.map(lambda t: list({t, skeleton(t)}))
 
-    @F.pandas_udf(T.StringType())
-    def first(given: pd.Series) -> pd.Series:
-        return given.map(lambda g: (_FORMAL.get(g.split()[0], (g,))[0][0] if g else ""))
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def meeting(given: pd.Series) -> pd.Series:
+        return given.map(Channel(forms).meeting_keys)
 
-    @F.pandas_udf(T.DoubleType())
-    def channel(sa: pd.Series, ga: pd.Series, sb: pd.Series, gb: pd.Series) -> pd.Series:
-        out = []
-        for a, x, b, y in zip(sa, ga, sb, gb):
-            s = surname_cost(a, b)
-            g = given_cost(x, y) if s is not None else None
-            out.append(s + g if g is not None and s + g > -7.5 else None)
-        return pd.Series(out, dtype="float64")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def changed(sa: pd.Series, ga: pd.Series, sb: pd.Series, gb: pd.Series) -> pd.Series:
+        c = Channel(forms)
+        got = [c.changes(a, x, b, y) for a, x, b, y in zip(sa, ga, sb, gb)]
+        return pd.Series([None if k is None else list(k) for k in got])
 
     full = F.length(F.split("given", " ")[0]) > 2
-    keys = keys.withColumn("init", first("given")).withColumn("full", (full | F.col("given").rlike("^[a-z]{2} [a-z]{2,}")).cast("int"))
-    by_token = cut(keys.withColumn("token", F.explode(F.split("sur", " "))).where("length(token) > 1").withColumn("bone", F.explode(bones("token"))), "by_token")
+    keys = keys.withColumn("full", (full | F.col("given").rlike("^[a-z]{2} [a-z]{2,}")).cast("int"))
+    by_token = keys.withColumn("token", F.explode(F.split("sur", " "))).where("length(token) > 1").withColumn("bone", F.explode(bones("token"))).select("key", "given", "bone").distinct()
+    by_token = cut(by_token.withColumn("meet", F.explode(meeting("given"))).select("key", "bone", "meet"), "by_token")
     bone = by_token.select("bone").distinct().withColumn("h", F.explode(_deletions(F.col("bone"))))
     near = bone.select("h", F.col("bone").alias("bone_a")).join(bone.select("h", F.col("bone").alias("bone_b")), "h").where("bone_a < bone_b").select("bone_a", "bone_b").distinct()
     swapped = (F.levenshtein("bone_a", "bone_b") == 2) & (F.array_sort(F.split("bone_a", "")) == F.array_sort(F.split("bone_b", "")))
     near = near.where((F.levenshtein("bone_a", "bone_b") <= 1) | swapped)
-    cols = ["key", "sur", "given", "n", "init", "full"]
-    a = by_token.select("bone", *[F.col(c).alias(f"{c}_a") for c in cols])
-    b = by_token.select("bone", *[F.col(c).alias(f"{c}_b") for c in cols])
-    same = a.join(b, "bone").where("key_a < key_b").drop("bone")
-    other = near.join(a.withColumnRenamed("bone", "bone_a"), "bone_a").join(b.withColumnRenamed("bone", "bone_b"), "bone_b").where("init_a = init_b AND key_a <> key_b").drop("bone_a", "bone_b")
-    other = other.select(*same.columns)
-    met = same.unionByName(other)
-    swap = F.col("key_a") > F.col("key_b")
-    flat = met.select(*[F.when(swap, F.col(f"{c}_{y}")).otherwise(F.col(f"{c}_{x}")).alias(f"{c}_{x}") for c in cols for x, y in (("a", "b"), ("b", "a"))]).dropDuplicates(["key_a", "key_b"])
-    scored = flat.withColumn("ll", channel("sur_a", "given_a", "sur_b", "given_b")).where("ll IS NOT NULL")
+    a = by_token.select("bone", "meet", F.col("key").alias("key_a"))
+    b = by_token.select("bone", "meet", F.col("key").alias("key_b"))
+    same = a.join(b, ["bone", "meet"]).where("key_a < key_b").select("key_a", "key_b")
+    bare = a.where("meet = ''").select("bone", "key_a").join(b.where("meet <> ''").select("bone", "key_b").distinct(), "bone").select("key_a", "key_b")
+    other = near.join(a.withColumnRenamed("bone", "bone_a"), "bone_a").join(b.withColumnRenamed("bone", "bone_b"), ["bone_b", "meet"]).select("key_a", "key_b")
+    met = same.unionByName(bare).unionByName(other).where("key_a <> key_b").select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b")).distinct()
+    cols = ["key", "sur", "given", "n", "full"]
+    flat = met.join(keys.select(*[F.col(c).alias(f"{c}_a") for c in cols]), "key_a").join(keys.select(*[F.col(c).alias(f"{c}_b") for c in cols]), "key_b")
+    scored = flat.withColumn("kinds", changed("sur_a", "given_a", "sur_b", "given_b")).where("kinds IS NOT NULL")
     # the fuller form is canonical; among equals the more frequent one
     a_first = F.struct("full_a", "n_a", "key_a") > F.struct("full_b", "n_b", "key_b")
     return scored.select(
         F.when(a_first, F.col("key_b")).otherwise(F.col("key_a")).alias("key_v"),
         F.when(a_first, F.col("key_a")).otherwise(F.col("key_b")).alias("key_c"),
+        F.when(a_first, F.col("n_b")).otherwise(F.col("n_a")).alias("n_v"),
         F.when(a_first, F.col("n_a")).otherwise(F.col("n_b")).alias("n_c"),
-        "ll",
+        "kinds",
     )
 
 
+def learned_costs(pairs: DataFrame, homes: DataFrame, mentions: int) -> dict[str, float]:
+    """Log likelihood of each kind of change a mention: how many spellings came about by it, over all mentions.
+
+    A pair of spellings that some institution holds both of counts once, however frequent the two are; pairs of one
+    change tell which kind it was.  This is the counting step of EM from equal costs, with one added to each count.
+    """
+    v = homes.select(F.col("key").alias("key_v"), "inst")
+    c = homes.select(F.col("key").alias("key_c"), "inst")
+    one = pairs.where("size(kinds) = 1").select("key_v", "key_c", F.col("kinds")[0].alias("kind"))
+    seen = one.join(v, "key_v").join(c, ["key_c", "inst"]).select("key_v", "key_c", "kind").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r.kind: r.n for r in seen.collect()}  # one row a kind
+    return {k: math.log((counts.get(k, 0) + 1) / (mentions + len(KINDS))) for k in KINDS}
+
+
 # Words for institutions that are written short.
 _SHORT_INST = {"inst": "institute", "univ": "university", "lab": "laboratory", "acad": "academy", "coll": "college", "obs": "observatory", "poly": "polytechnic", "cent": "centre", "ctr": "centre"}
 
@@ -291,64 +351,87 @@ def institution(col: str) -> Column:
     return F.trim(F.regexp_replace(text, "\\s+", " "))
 
 
-def entities(signatures: DataFrame) -> DataFrame:
+def entities(signatures: DataFrame, floor: float = -16.0, surprise: float = 3.0, chance: float = 0.5, posterior: float = 0.5, backward: float = -1.0) -> DataFrame:
     """``(signature_id, author_name, entity)`` for each signature with a name; ``signatures`` has one row per id and
-    ``author_affiliation, publication_id``."""
+    ``author_affiliation, publication_id``.
+
+    ``floor``: least log likelihood of a variant; ``surprise``: how many times as often as mistakes are to be expected a
+    form may be met and still be taken for one; ``chance``: a shared co-author counts where fewer than this many
+    meetings of the two names on one publication are to be expected by their frequencies (so a frequent name needs a
+    rare co-author, and no name is left out); ``posterior``: what an entity must hold of a name's probability to take
+    in a mention by the name alone; ``backward``: log odds of a canonical form being meant by its variant's mention.
+    """
     sig = signatures.where(F.length(F.trim("author_name")) > 0)
     names = cut(parsed_names(sig.select("author_name")), "names")
-    placed = sig.select("signature_id", "author_name", "publication_id", institution("author_affiliation").alias("inst")).join(names.select("author_name", "key"), "author_name")
+    hot_names = hot_keys(sig.select("author_name"), "author_name")
+    placed = salted(sig.select("signature_id", "author_name", "publication_id", institution("author_affiliation").alias("inst")), names.select("author_name", "key"), "author_name", hot_names)
     node = F.when(F.col("inst").isNotNull(), F.xxhash64("key", "inst")).otherwise(F.xxhash64(F.lit("sig"), "signature_id"))
     placed = cut(placed.withColumn("node", node), "placed")
-    counts = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    keys = names.select("key", "sur", "given").dropDuplicates(["key"]).join(counts, "key")
-    pairs = cut(spelling_pairs(keys), "spellings")
+    counts = cut(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "counts")
+    keys = cut(names.select("key", "sur", "given").dropDuplicates(["key"]).join(counts, "key"), "keys")
     nodes = cut(placed.groupBy("node", "key", "inst").agg(F.count(F.lit(1)).alias("n")), "nodes")
+    homes = nodes.where("inst IS NOT NULL")
+    forms = learned_forms(homes, keys)
+    raw = cut(spelling_pairs(keys, forms), "spellings")
+    costs = learned_costs(raw, homes.select("key", "inst"), placed.count())
+    table = F.create_map(*[x for k in KINDS for x in (F.lit(k), F.lit(costs[k]))])
+    ll = F.aggregate("kinds", F.lit(0.0), lambda t, k: t + table[k])
+    # a mistyped form is as frequent as mistakes are; one that is met far more often is a name of its own
+    mistake = F.arrays_overlap("kinds", F.array(F.lit("typo"), F.lit("shape")))
+    likely = ~mistake | (F.col("n_v") <= surprise * (1 + F.col("n_c") * F.exp("ll")))
+    pairs = cut(raw.withColumn("ll", ll).where(F.col("ll") >= floor).where(likely).select("key_v", "key_c", "n_c", "ll"), "pairs")
 
     # context 1: the institution
-    homes = nodes.where("inst IS NOT NULL")
     v = homes.select(F.col("node").alias("node_v"), F.col("key").alias("key_v"), "inst")
     c = homes.select(F.col("node").alias("node_c"), F.col("key").alias("key_c"), "inst", F.col("n").alias("n_ctx"))
     by_inst = pairs.join(v, "key_v").join(c, ["key_c", "inst"]).select("node_v", "node_c", (F.col("ll") + F.log(1.0 + F.col("n_ctx")) + 2.0).alias("score"))
 
-    # context 2: a shared co-author, hot names left out (they say next to nothing about a person)
-    hot = heavy_hitters(placed, "key", 0.005).select(F.col("hot_key").cast("bigint").alias("key"))
-    telling = placed.join(F.broadcast(hot), "key", "left_anti")
-    co = telling.select("publication_id", F.col("key").alias("co")).distinct()
-    seen = cut(telling.join(co, "publication_id").where("key <> co").groupBy("node", "key", "co").agg(F.count(F.lit(1)).alias("n_co")), "coauthors")
+    # context 2: a shared co-author, where the two names would hardly meet by chance
+    hot = hot_keys(placed.select("key"), "key")
+    works = placed.agg(F.count_distinct("publication_id").alias("n"))
+    sized = cut(salted(placed.select("publication_id", "node", "key"), counts, "key", hot), "sized")
+    co = sized.select("publication_id", F.col("key").alias("co"), F.col("n").alias("n_co")).distinct()
+    met = sized.join(co, "publication_id").where("key <> co").where(F.col("n") * F.col("n_co") < chance * works.scalar())
+    seen = cut(met.groupBy("node", "key", "co").agg(F.count(F.lit(1)).alias("k")), "coauthors")
+    # all of a name's mentions with one such co-author are one person; their lead stands for them
+    lead = cut(seen.groupBy("key", "co").agg(F.max_by("node", F.struct("k", "node")).alias("lead"), F.sum("k").alias("k_all")), "leads")
     v = seen.select(F.col("node").alias("node_v"), F.col("key").alias("key_v"), "co")
-    c = seen.select(F.col("node").alias("node_c"), F.col("key").alias("key_c"), "co", "n_co")
-    by_co = pairs.join(v, "key_v").join(c, ["key_c", "co"]).groupBy("node_v", "node_c").agg((F.max("ll") + F.log(1.0 + F.sum("n_co")) + 1.0).alias("score"))
-    parents = cut(by_inst.unionByName(by_co).groupBy("node_v").agg(F.max_by("node_c", F.struct("score", "node_c")).alias("node_c")), "parents")
-    same_co = seen.groupBy("key", "co").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "co", "lead")
-    twins = seen.join(same_co, ["key", "co"]).where("node <> lead").select(F.col("node").alias("src"), F.col("lead").alias("dst")).distinct()
-    edges = cut(parents.select(F.col("node_v").alias("src"), F.col("node_c").alias("dst")).unionByName(twins), "edges")
-
-    # by the name alone: mentions without institution, and single mentions from elsewhere, that no context has placed
-    linked = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    homed = cut(homes.groupBy("key").agg(F.max_by("node", F.struct("n", "node")).alias("top"), F.max("n").alias("top_n"), F.sum("n").alias("all_n")), "homed")
-    loose = cut(nodes.where("inst IS NULL OR n = 1").join(linked, "node", "left_anti"), "loose")
-    at_home = loose.join(homed, "key").where("node <> top AND top_n * 2 >= all_n AND (inst IS NULL OR top_n >= 2)").select(F.col("node").alias("src"), F.col("top").alias("dst"))
-    settled = at_home.select(F.col("src").alias("node"))
-    homeless = loose.join(settled, "node", "left_anti").join(homed.select("key", "top_n", "top"), "key", "left").where("top IS NULL OR (top_n = 1 AND top = node)").select("node", "key")
-    homeless = cut(homeless, "homeless")
-    together = homeless.groupBy("key").agg(F.min("node").alias("dst"), F.count(F.lit(1)).alias("k"))
-    herd = homeless.join(together.where("k > 1").select("key", "dst"), "key").where("node <> dst").select(F.col("node").alias("src"), "dst")
-    # ... the herd's lead goes to the best canonical form of the name, if that form has a clear home
-    both_ways = pairs.unionByName(pairs.join(counts.select(F.col("key").alias("key_v"), F.col("n").alias("n_v")), "key_v").select(F.col("key_c").alias("key_v"), F.col("key_v").alias("key_c"), F.col("n_v").alias("n_c"), (F.col("ll") - 1.0).alias("ll")))
-    post = both_ways.join(together.select(F.col("key").alias("key_v"), F.col("dst").alias("lead")), "key_v").join(homed.select(F.col("key").alias("key_c"), "top", "top_n", "all_n"), "key_c")
-    post = post.withColumn("p", F.exp("ll") * F.col("n_c"))
-    best = post.groupBy("lead").agg(F.max_by(F.struct("top", "top_n", "all_n", "p"), F.struct("p", "key_c")).alias("m"), F.sum("p").alias("p_all"))
-    guessed = best.where("m.p >= 0.6 * p_all AND m.top_n * 2 >= m.all_n AND m.top <> lead AND m.top_n >= 2").select(F.col("lead").alias("src"), F.col("m.top").alias("dst"))
-    trees = connected_components(edges.unionByName(at_home).unionByName(herd).unionByName(guessed))
-    return placed.join(trees, placed["node"] == trees["vertex"], "left").select("signature_id", "author_name", F.coalesce("component", "node").alias("entity"))
+    c = lead.select(F.col("key").alias("key_c"), "co", F.col("lead").alias("node_c"), "k_all")
+    by_co = pairs.join(v, "key_v").join(c, ["key_c", "co"]).groupBy("node_v", "node_c").agg((F.max("ll") + F.log(1.0 + F.sum("k_all")) + 1.0).alias("score"))
+    parents = by_inst.unionByName(by_co).groupBy("node_v").agg(F.max_by("node_c", F.struct("score", "node_c")).alias("node_c"))
+    same = seen.join(lead, ["key", "co"]).where("node <> lead").select(F.col("node").alias("src"), F.col("lead").alias("dst"))
+    trees = connected_components(parents.select(F.col("node_v").alias("src"), F.col("node_c").alias("dst")).unionByName(same))
+    based = cut(nodes.join(trees.withColumnRenamed("vertex", "node"), "node", "left"), "based")
+
+    # by the name alone: mentions without institution, and single mentions from elsewhere, that no context has placed;
+    # the candidates are the entities of all spellings that can have been meant, by how often each is met in them
+    mass = based.where("inst IS NOT NULL OR component IS NOT NULL").groupBy("key", F.coalesce("component", "node").alias("tree")).agg(F.sum("n").alias("m"))
+    loose = cut(based.where("component IS NULL AND (inst IS NULL OR n = 1)").select("node", "key"), "loose")
+    wanted = loose.select(F.col("key").alias("key_v")).distinct()
+    back = pairs.select(F.col("key_c").alias("key_v"), F.col("key_v").alias("key_c"), (F.col("ll") + backward).alias("ll"))
+    meant = pairs.select("key_v", "key_c", "ll").unionByName(back).join(wanted, "key_v").unionByName(wanted.select("key_v", F.col("key_v").alias("key_c"), F.lit(0.0).alias("ll")))
+    weight = F.exp("ll") * F.col("m")
+    odds = meant.join(mass.withColumnRenamed("key", "key_c"), "key_c").groupBy("key_v", "tree").agg(F.sum(weight).alias("w"), F.sum("m").alias("m"))
+    best = odds.groupBy("key_v").agg(F.max_by(F.struct("tree", "w", "m"), F.struct("w", "tree")).alias("top"), F.sum("w").alias("all_w"))
+    taken = best.where(F.col("top.w") >= posterior * F.col("all_w")).where("top.m >= 2").select(F.col("key_v").alias("key"), F.col("top.tree").alias("home"))
+    # a spelling that no entity holds twice is rare enough for its mentions to be one person; else they stay alone
+    rooted = mass.where("m >= 2").select("key").distinct().withColumn("rooted", F.lit(True))
+    herds = loose.groupBy("key").agg(F.min("node").alias("herd")).join(rooted, "key", "left").select("key", F.when(F.col("rooted").isNull(), F.col("herd")).alias("herd"))
+    led = salted(loose, herds.join(taken, "key", "left").select("key", F.coalesce("home", "herd").alias("led")), "key", hot).select("node", "led")
+    final = based.select("node", "component").join(led, "node", "left").select("node", F.coalesce("component", "led", "node").alias("entity"))
+    return placed.join(final, "node").select("signature_id", "author_name", "entity")
 
 
 def variant_pairs(members: DataFrame) -> DataFrame:
     """``(signature_id_a, signature_id_b)``, a < b, of members of one entity under different stored names; only
     entities with several names are expanded, and copies of one name are never paired."""
+    members = members.select("entity", "author_name", "signature_id")
     names = members.groupBy("entity", "author_name").agg(F.count(F.lit(1)).alias("n"))
     several = names.groupBy("entity").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("entity")
     kept = cut(members.join(several, "entity"), "variant_members")
-    a = kept.select("entity", F.col("signature_id").alias("a"), F.col("author_name").alias("name_a"))
-    b = kept.select("entity", F.col("signature_id").alias("b"), F.col("author_name").alias("name_b"))
-    return a.join(b, "entity").where("a < b AND name_a <> name_b").select(F.col("a").alias("signature_id_a"), F.col("b").alias("signature_id_b"))
+    held = kept.select("entity", "author_name").distinct()
+    named = held.select("entity", F.col("author_name").alias("name_a")).join(held.select("entity", F.col("author_name").alias("name_b")), "entity").where("name_a < name_b")
+    a = kept.select("entity", F.col("author_name").alias("name_a"), F.col("signature_id").alias("a"))
+    b = kept.select("entity", F.col("author_name").alias("name_b"), F.col("signature_id").alias("b"))
+    both = named.join(a, ["entity", "name_a"]).join(b, ["entity", "name_b"])
+    return both.select(F.least("a", "b").alias("signature_id_a"), F.greatest("a", "b").alias("signature_id_b"))

@@ -1,10 +1,11 @@
 """Restoring text that was decoded with the wrong character encoding.
 
 A noisy channel over bytes.  A damaged span is turned back into the bytes it was read from under every
-``(read as, written as)`` channel; bytes that were lost (U+FFFD) become wildcards of the lattice.  The lattice is
-decoded with a Viterbi search whose emission model is a character trigram model counted over *all* names
-(a fixed-size hashed table, so its broadcast has a proven bound), and the words of the survivors are then ranked by
-their corpus frequency in a shuffle join.
+``(read as, written as)`` channel; bytes that were lost (U+FFFD) or have vanished become wildcards of the lattice.  The
+lattice is decoded with an exact Viterbi search over pairs of last letters, under a letter model with back-off that is
+mixed, word by word, with the corpus frequency of the word; both are counted over *all* names in tables of fixed size,
+so their broadcast has a proven bound.  Words of the corpus that fit a lost or short place compete by their exact
+frequency in a shuffle join afterwards.
 
 Defined results: a null name stays null and is not damaged; an empty name is not damaged; repeated rows give repeated
 results in :func:`restore_names` (its input is deduplicated by value first, so equal names are decoded once).
@@ -12,8 +13,11 @@ results in :func:`restore_names` (its input is deduplicated by value first, so e
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations, groupby, product
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 
 from entiforge.plans.lineage import cut
 
-LM_BITS = 18
+LM_BITS = 20
 LM_SIZE = 1 << LM_BITS
 
 # The code pages whose mix-ups are modelled, each as (page the bytes were read with, page they were
@@ -54,7 +58,9 @@ CHANNELS = [
 
 LOST = "�"
 # Log prior of a mix-up after which bytes vanished, and the mark of its channel path.
-VANISHED = -1.0
+VANISHED = -3.0
+#: Log odds above which a name counts as damaged.
+LEAST_ODDS = 3.0
 SHORT = "~"
 
 
@@ -91,34 +97,81 @@ def wildcard_letters() -> str:
     return "".join(sorted({c for p in ("cp1252", "cp1250", "iso8859_9", "iso8859_16") for c in _letter_of_byte(p)} - set("ªºµƒ")))
 
 
-def _slot(a: str, b: str, c: str) -> int:
-    return ((ord(a) * 1_000_003 + ord(b)) * 8191 + ord(c) * 131) % 1_000_000_007 & (LM_SIZE - 1)
+def _slots(key: str) -> tuple[int, int]:
+    """Both places of a key: what is read is the smaller count (a count-min sketch), so chance meetings are rare."""
+    raw = key.encode("utf-8", "surrogatepass")
+    return zlib.crc32(raw) & (LM_SIZE - 1), (zlib.crc32(raw, 0x5BD1E995) * 40_503 >> 7) & (LM_SIZE - 1)
 
 
-def trigrams(word: str) -> Iterator[int]:
-    """Hash slots of the padded trigrams and, in a disjoint key space, of their bigram contexts."""
+#: Kinds of counts: letter in its context of two and of one, letter, and the contexts as such.
+TRI, PAIR, ONE, CONTEXT2, CONTEXT1 = "tpocd"
+
+
+def letter_keys(word: str) -> Iterator[tuple]:
+    """What a word adds to the model: each letter with its contexts, and the contexts alone."""
     a = b = "\x02"
     for c in [*word, "\x03"]:
-        yield _slot(a, b, c)
+        yield from ((TRI, a, b, c), (PAIR, b, c), (ONE, c), (CONTEXT2, a, b), (CONTEXT1, b))
         a, b = b, c
 
 
+def letter_counts(word: str) -> Iterator[int]:
+    return (s for k in letter_keys(word) for s in _slots("".join(k)))
+
+
+def word_counts(words: list[str]) -> list[int]:
+    return [s for w in words for s in _slots("w" + w)]
+
+
 class CharModel:
-    """Hashed trigram counts with an additive back-off; ``counts`` has a fixed ``LM_SIZE`` entries (1 MB)."""
+    """``P(letter | two letters before)`` backed off to one letter, to none and to a floor, mixed word by word with the
+    corpus frequency of the whole word.  Both tables have a fixed ``LM_SIZE`` entries (4 MB each)."""
 
-    def __init__(self, counts: np.ndarray):
-        total = max(float(counts.sum()), 1.0)
-        self.cost = np.log((counts + 0.05) / (total + 0.05 * LM_SIZE)).astype("float32")
+    def __init__(self, letters: np.ndarray, words: np.ndarray):
+        self.letters, self.words = letters.astype("float32"), words.astype("float32")
+        self.total = max(float(letters.sum()) / 10, 1.0)
+        self.n_words = max(float(words.sum()) / 2, 1.0)
         self.known: dict[str, float] = {}
+        self.seen: set[str] = set()
+        self.less: dict[tuple, int] = {}
+        self.own: set[tuple[str, str]] = set()
+        self.arcs: dict[tuple[str, str, str], float] = {}
 
     def arc(self, a: str, b: str, c: str) -> float:
-        return float(self.cost[_slot(a, b, c)])
+        own = (b, c) in self.own
+        got = None if own else self.arcs.get((a, b, c))
+        if got is None:
+            n = lambda *key: max(float(min(self.letters[i] for i in _slots("".join(key)))) - (self.less.get(key, 0) if own else 0), 0.0)
+            one = (n(ONE, c) + 0.01) / (self.total + 0.01 * 100_000)
+            two = (n(PAIR, b, c) + 2 * one) / (n(CONTEXT1, b) + 2)
+            three = (n(TRI, a, b, c) + 2 * two) / (n(CONTEXT2, a, b) + 2)
+            got = math.log(min(three, 1.0))
+            if not own and len(self.arcs) < 500_000:
+                self.arcs[a, b, c] = got
+        return got
+
+    def mixed(self, word: str, spelled: float) -> float:
+        """Log probability of a word spelled with ``spelled`` by its letters: half of it by its corpus frequency."""
+        own = max(float(min(self.words[i] for i in _slots("w" + word))) - (word in self.seen), 0.0) / self.n_words
+        return math.log(0.5 * own + 0.5 * math.exp(max(spelled, -600.0)) + 1e-300)
+
+    def look_at(self, text: str) -> None:
+        """Leaves out what ``text`` itself has added to the counts: a garbled word is no evidence for itself."""
+        words = _words(text)
+        self.seen = set(words)
+        self.less = Counter(k for w in words for k in letter_keys(w))
+        self.own = {(k[1], k[2]) for k in self.less if k[0] == PAIR and (k[1] >= "\x80" or k[2] >= "\x80")}
 
     def score(self, word: str) -> float:
-        got = self.known.get(word)
+        got = self.known.get(word) if word not in self.seen else None
         if got is None:
-            got = float(self.cost[list(trigrams(word))].sum())
-            if len(self.known) < 200_000:
+            a = b = "\x02"
+            spelled = 0.0
+            for c in [*word, "\x03"]:
+                spelled += self.arc(a, b, c)
+                a, b = b, c
+            got = self.mixed(word, spelled)
+            if len(self.known) < 200_000 and word not in self.seen:
                 self.known[word] = got
         return got
 
@@ -247,26 +300,45 @@ def _decode_short(text: str, read: str, model: CharModel) -> str | None:
 
 
 def _best_path(slots: list[list[str]], model: CharModel) -> str:
-    """The most probable text with one of its options in each slot: exact, one best path per trigram state."""
+    """The most probable text with one of its options in each slot: one best path per pair of last letters, however
+    many; where a word ends its letters' probability is mixed with the frequency of the word."""
     start = ("\x02", "\x02")
-    paths: dict[tuple[str, str], tuple[float, str]] = {start: (0.0, "")}
+    # state -> (score of the words before, score of the letters of this word, the text, where this word begins)
+    paths: dict[tuple[str, str], tuple[float, float, str, int]] = {start: (0.0, 0.0, "", 0)}
+
+    def ended(state: tuple[str, str], before: float, spelled: float, text: str, at: int) -> float:
+        return before if state == start else before + model.mixed(_fold(text[at:]), spelled + model.arc(*state, "\x03"))
+
     for options in slots:
-        nxt: dict[tuple[str, str], tuple[float, str]] = {}
-        for (a, b), (score, done) in paths.items():
+        nxt: dict[tuple[str, str], tuple[float, float, str, int]] = {}
+        for state, (before, spelled, done, at) in paths.items():
             for option in options:
-                p, q, cost = a, b, score
+                s, b, w, text, first = state, before, spelled, done, at
                 for c in option:
                     if c in " ,":
-                        cost += model.arc(p, q, "\x03") if (p, q) != start else 0.0
-                        p, q = start
+                        b, w, s = ended(s, b, w, text, first), 0.0, start
+                        text += c
+                        first = len(text)
                     else:
                         low = c.lower()[:1]
-                        cost += model.arc(p, q, low)
-                        p, q = q, low
-                if (p, q) not in nxt or cost > nxt[p, q][0]:
-                    nxt[p, q] = (cost, done + option)
+                        w += model.arc(*s, low)
+                        s = (s[1], low)
+                        text += c
+                if s not in nxt or b + w > nxt[s][0] + nxt[s][1]:
+                    nxt[s] = (b, w, text, first)
         paths = nxt
-    return max((s + (model.arc(*k, "\x03") if k != start else 0.0), t) for k, (s, t) in paths.items())[1]
+    return max((ended(s, *p), p[2]) for s, p in paths.items())[1]
+
+
+def fill_lost(text: str, model: CharModel) -> str:
+    """``text`` with each U+FFFD as a wildcard byte of the lattice: any letter of the pages for Latin scripts."""
+    around = [c for c in text if c.isalpha() and c < "\x80"]
+    capitals = bool(around) and all(c.isupper() for c in around)
+    slots = []
+    for k, ch in enumerate(text):
+        upper = capitals or k == 0 or not text[k - 1].isalpha() and text[k - 1] != LOST
+        slots.append([c for c in wildcard_letters() if c.isupper() == upper] if ch == LOST else [ch])
+    return _best_path(slots, model)
 
 
 @lru_cache(None)
@@ -324,30 +396,6 @@ def _mixed(text: str) -> int:
     return bad
 
 
-def _viterbi(text: str, model: CharModel, keep: int = 4) -> list[tuple[float, str]]:
-    """Best fillings of the lost characters of ``text``: a beam of ``keep`` paths per trigram state."""
-    beams: dict[tuple[str, str], list[tuple[float, str]]] = {("\x02", "\x02"): [(0.0, "")]}
-    letters = wildcard_letters()
-    for k, ch in enumerate(text):
-        if ch == LOST:
-            around = [c for c in text if c.isalpha() and c < "\x80"]
-            upper = (k == 0 or not text[k - 1].isalpha() and text[k - 1] != LOST) or bool(around) and all(c.isupper() for c in around)
-            options = [c for c in letters if c.isupper() == upper and c.isalpha()]
-        else:
-            options = [ch]
-        nxt: dict[tuple[str, str], list[tuple[float, str]]] = {}
-        for (a, b), paths in beams.items():
-            for c in options:
-                low = c.lower()[:1]
-                cost = model.arc(a, b, low) if c != " " else 0.0
-                key = ("\x02", "\x02") if c in " ,-'" else (b, low)
-                nxt.setdefault(key, []).extend((s + cost, p + c) for s, p in paths)
-        beams = {k2: sorted(v, reverse=True)[:keep] for k2, v in nxt.items()}
-        if len(beams) > 64:
-            beams = dict(sorted(beams.items(), key=lambda kv: -kv[1][0][0])[:64])
-    return sorted((p for v in beams.values() for p in v), reverse=True)[:keep]
-
-
 def hypotheses(text: str, model: CharModel, depth: int = 2) -> list[tuple[float, str, str]]:
     """``(log prior, restored text, channel path)`` of every chain of at most ``depth`` mix-ups."""
     out: list[tuple[float, str, str]] = []
@@ -356,11 +404,12 @@ def hypotheses(text: str, model: CharModel, depth: int = 2) -> list[tuple[float,
         nxt = []
         for prior, t, path in front:
             for read, written, lp in CHANNELS:
-                if path.endswith(SHORT) and written != "utf-8":
+                # one page for another leaves blanks and hidden characters alone, and whole words of one script
+                if written != "utf-8" and (path.endswith(SHORT) or any(c >= "\x80" and unicodedata.category(c) in ("Zs", "Cf") for c in t)):
                     continue
                 got = _decode_once(t, read, written)
                 step = f"{path}>{read}:{written}" if path else f"{read}:{written}"
-                if got is not None and got != t:
+                if got is not None and got != t and (written == "utf-8" or not _mixed(got) and all(c < "\x80" or c.isalpha() for c in got)):
                     nxt.append((prior + lp, got, step))
                 got = _decode_short(t, read, model) if written == "utf-8" else None
                 if got is not None and got != t:
@@ -412,6 +461,7 @@ def decide(text: str, model: CharModel) -> tuple[bool, str, str, float, str, str
     if text.isascii() or isolated and not any(_lead(m.group()) for m in _ALONE.finditer(text)):
         return False, text, "", 0.0, "", "", ""
     lost = LOST in text
+    model.look_at(text)
 
     def value(t: str) -> float:
         ws = _words(t.replace(LOST, ""))
@@ -431,32 +481,32 @@ def decide(text: str, model: CharModel) -> tuple[bool, str, str, float, str, str
     restored = best[1]
     pattern = restored if LOST in restored else ""
     if pattern:
-        filled = _viterbi(restored, model)
-        if filled:
-            restored = filled[0][1]
-    damaged = lost or (best[2] != "" and gain > 4.0) or not _settled(text)
+        restored = fill_lost(restored, model)
+    damaged = lost or (best[2] != "" and gain > LEAST_ODDS) or not _settled(text)
     # what is left of short sequences in the best text without them: the corpus may know the words
     short = whole[1] if LOST not in whole[1] and (isolated or damaged) and any(_lead(m.group()) for m in _ALONE.finditer(whole[1])) else ""
     hint = (best[2] or "latin-1:utf-8").replace(SHORT, "") if short else ""
     return damaged, restored if damaged else text, best[2].replace(SHORT, "") if damaged else "", gain, pattern, short, hint
 
 
-def char_model(names: DataFrame, column: str) -> np.ndarray:
-    """Trigram counts over all distinct values of ``column``; each task adds its own table up first, and the sum has at
-    most ``LM_SIZE`` rows of two numbers, however large the corpus."""
+def char_model(names: DataFrame, column: str) -> CharModel:
+    """Counts over all distinct values of ``column``; each task adds its own tables up first, and the sums have at most
+    ``2 * LM_SIZE`` rows of two numbers, however large the corpus."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros(LM_SIZE, dtype="int64")
+        held = np.zeros(2 * LM_SIZE, dtype="int64")
         for pdf in batches:
-            slots = [s for t in pdf[column] for w in _words(t) for s in trigrams(w)]
-            held += np.bincount(np.array(slots, dtype="int64"), minlength=LM_SIZE)
+            words = [w for t in pdf[column] for w in _words(t)]
+            slots = [s for w in words for s in letter_counts(w)]
+            held[:LM_SIZE] += np.bincount(np.array(slots, dtype="int64"), minlength=LM_SIZE)
+            held[LM_SIZE:] += np.bincount(np.array(word_counts(words), dtype="int64"), minlength=LM_SIZE)
         at = np.flatnonzero(held)
         yield pd.DataFrame({"slot": at, "n": held[at]})
 
     table = names.mapInPandas(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(LM_SIZE)
+    counts = np.zeros(2 * LM_SIZE)
     counts[table["slot"].to_numpy(dtype="int64")] = table["n"].to_numpy()
-    return counts
+    return CharModel(counts[:LM_SIZE], counts[LM_SIZE:])
 
 
 def _mask(column):
@@ -474,11 +524,11 @@ def restore_names(rows: DataFrame, column: str = "author_name", names_per_task:
     spark = rows.sparkSession
     names = cut(rows.select(column).where(F.col(column).isNotNull()).distinct(), "names")
     foreign = names.where(F.col(column).rlike("[^\\x00-\\x7f]"))
-    model = spark.sparkContext.broadcast(CharModel(char_model(names, column)).cost)
+    counted = char_model(names, column)
+    model = spark.sparkContext.broadcast((counted.letters, counted.words))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = CharModel.__new__(CharModel)
-        m.cost, m.known = model.value, {}
+        m = CharModel(*model.value)
         for pdf in batches:
             got = [decide(t, m) for t in pdf[column]]
             yield pd.DataFrame({

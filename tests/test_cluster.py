@@ -146,3 +146,40 @@ def test_fixed_threshold_has_no_block_limit(spark, method):
         assert len(set(zip(want, label))) == len(set(want)) == len(set(label)) == label.max() + 1
         assert all(got[i].global_label == got[i].label + end for i in ids)
         end += label.max() + 1
+
+
+def test_b3_threshold_in_one_walk():
+    rng = np.random.default_rng(4)
+    for method in lk.METHODS:
+        for _ in range(15):
+            n = int(rng.integers(2, 25))
+            x = rng.normal(size=(n, 2))
+            z = lk.linkage(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), method)
+            labels = rng.integers(-1, 4, n)
+            if not (labels != -1).any():
+                continue
+            at = labels != -1
+            assert lk.best_b3_threshold(z, labels) == pytest.approx(lk.best_threshold(z, lambda pred: round(lk.b3_f_score(labels[at], pred[at]), 10), None))
+
+
+def test_methods_that_components_cannot_cut(spark):
+    rows = spark.createDataFrame([("b", 1), ("b", 2), ("b", 3)], "block string, row_id bigint")
+    d = spark.createDataFrame([("b", 1, 2, 0.9), ("b", 1, 3, 1.0), ("b", 2, 3, 1.0)], "block string, i bigint, j bigint, dist double")
+    for method in ("centroid", "median"):
+        with pytest.raises(ValueError):
+            cl.cluster_threshold(rows, d, 0.95, method)
+    # the whole tree joins all three below the smallest distance to the third
+    labels = cl.cut_blocks(cl.fit_blocks(rows, d, "centroid"), 0.95).collect()
+    assert len({r.label for r in labels}) == 1
+
+
+def test_ward_by_components_equals_the_tree(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(30, 3)) + 3 * rng.integers(0, 3, (30, 1))
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    rows = spark.createDataFrame([("b", i) for i in range(30)], "block string, row_id bigint")
+    d = spark.createDataFrame([("b", i, j, float(dist[i, j])) for i in range(30) for j in range(i + 1, 30)], "block string, i bigint, j bigint, dist double")
+    for t in (0.8, 1.5, 3.0):
+        got = {r.row_id: r.cluster for r in cl.cluster_threshold(rows, d, t, "ward").collect()}
+        want = lk.cut(lk.linkage(dist, "ward"), t)
+        assert len(set(got.values())) == len(set(want)) == len({(got[i], int(want[i])) for i in range(30)})

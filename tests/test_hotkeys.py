@@ -78,3 +78,16 @@ def test_components(spark):
 def test_empty_rank(spark):
     df = spark.createDataFrame(pd.DataFrame({"key": ["a"], "id": [1]})).where("id > 1")
     assert hk.rank_within(df, "key", ["id"]).count() == 0
+
+
+def test_salted_join_spreads_a_hot_key(spark):
+    many = spark.range(6000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 'hot' WHEN id % 7 = 0 THEN NULL ELSE concat('k', id % 500) END AS k")
+    few = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), (None, 4), ("other", 5)], "k string, v int")
+    hot = hk.hot_keys(many, "k", 0.1)
+    assert [r[0] for r in hot.collect()] == ["hot"]
+    got = hk.salted(many, few, "k", hot, salts=8)
+    want = many.join(few, "k")
+    assert sorted(map(tuple, got.select("id", "v").collect())) == sorted(map(tuple, want.select("id", "v").collect()))
+    spread = [len(p) for p in hk.salted(many, few, "k", hot, salts=8).rdd.glom().collect()]
+    assert sum(spread) == want.count() and max(spread) < want.count()
+    assert hk.salted(many.where("id < 0"), few, "k", hk.hot_keys(many.where("id < 0"), "k")).count() == 0

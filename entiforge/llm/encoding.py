@@ -115,12 +115,17 @@ def letter_keys(word: str) -> Iterator[tuple]:
         a, b = b, c
 
 
-def letter_counts(word: str) -> Iterator[int]:
-    return (s for k in letter_keys(word) for s in _slots("".join(k)))
-
-
-def word_counts(words: list[str]) -> list[int]:
-    return [s for w in words for s in _slots("w" + w)]
+def slot_counts(words: Counter) -> tuple[np.ndarray, np.ndarray]:
+    """``(letters, words)``: what the words, with their numbers, add to both tables; keys met often are hashed once."""
+    keys: Counter = Counter()
+    for w, n in words.items():
+        for k in letter_keys(w):
+            keys[k] += n
+    out = []
+    for table in ({"".join(k): n for k, n in keys.items()}, {"w" + w: n for w, n in words.items()}):
+        at = np.array([s for k in table for s in _slots(k)], dtype="int64")
+        out.append(np.bincount(at, weights=np.repeat(np.array(list(table.values()), dtype="float64"), 2), minlength=LM_SIZE))
+    return out[0], out[1]
 
 
 class CharModel:
@@ -132,19 +137,32 @@ class CharModel:
         self.total = max(float(letters.sum()) / 10, 1.0)
         self.n_words = max(float(words.sum()) / 2, 1.0)
         self.known: dict[str, float] = {}
+        self.counts: dict[tuple, float] = {}
         self.seen: set[str] = set()
         self.less: dict[tuple, int] = {}
         self.own: set[tuple[str, str]] = set()
         self.arcs: dict[tuple[str, str, str], float] = {}
 
+    def count(self, key: tuple) -> float:
+        got = self.counts.get(key)
+        if got is None:
+            x, y = _slots("".join(key))
+            got = float(min(self.letters[x], self.letters[y]))
+            if len(self.counts) < 500_000:
+                self.counts[key] = got
+        return got
+
+    def count_less(self, key: tuple) -> float:
+        return max(self.count(key) - self.less.get(key, 0), 0.0)
+
     def arc(self, a: str, b: str, c: str) -> float:
         own = (b, c) in self.own
         got = None if own else self.arcs.get((a, b, c))
         if got is None:
-            n = lambda *key: max(float(min(self.letters[i] for i in _slots("".join(key)))) - (self.less.get(key, 0) if own else 0), 0.0)
-            one = (n(ONE, c) + 0.01) / (self.total + 0.01 * 100_000)
-            two = (n(PAIR, b, c) + 2 * one) / (n(CONTEXT1, b) + 2)
-            three = (n(TRI, a, b, c) + 2 * two) / (n(CONTEXT2, a, b) + 2)
+            n = self.count_less if own else self.count
+            one = (n((ONE, c)) + 0.01) / (self.total + 0.01 * 100_000)
+            two = (n((PAIR, b, c)) + 2 * one) / (n((CONTEXT1, b)) + 2)
+            three = (n((TRI, a, b, c)) + 2 * two) / (n((CONTEXT2, a, b)) + 2)
             got = math.log(min(three, 1.0))
             if not own and len(self.arcs) < 500_000:
                 self.arcs[a, b, c] = got
@@ -235,6 +253,12 @@ def _sequence_length(lead: int) -> int:
     return 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE1 <= lead <= 0xEF else 0
 
 
+@lru_cache(None)
+def _leads(page: str) -> frozenset[str]:
+    """Characters that lead bytes of UTF-8 sequences are shown as."""
+    return frozenset(c for c, b in _byte_map(page).items() if _sequence_length(b))
+
+
 @lru_cache(4096)
 def _completions(page: str, left: bytes) -> tuple[str, ...]:
     """Letters (and marks of names) whose UTF-8 bytes are ``left`` once those that vanish under ``page`` are gone, at
@@ -269,6 +293,8 @@ _ALONE = re.compile("[^\x00-\x7f](?=[\x00-\x7f\ufffd]|$)")
 def _decode_short(text: str, read: str, model: CharModel) -> str | None:
     """``text`` decoded as UTF-8 where bytes of a sequence have vanished or are U+FFFD: each such sequence may be every
     letter with the bytes left, and the model chooses.  None where no sequence is short."""
+    if _leads(read).isdisjoint(text):
+        return None
     table, slots, short, i = _byte_map(read), [], False, 0
     around = [c for c in text if c.isalpha() and c < "\x80"]
     capitals = bool(around) and all(c.isupper() for c in around)
@@ -494,14 +520,16 @@ def char_model(names: DataFrame, column: str) -> CharModel:
     ``2 * LM_SIZE`` rows of two numbers, however large the corpus."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros(2 * LM_SIZE, dtype="int64")
+        words: Counter = Counter()
+        held = np.zeros(2 * LM_SIZE)
         for pdf in batches:
-            words = [w for t in pdf[column] for w in _words(t)]
-            slots = [s for w in words for s in letter_counts(w)]
-            held[:LM_SIZE] += np.bincount(np.array(slots, dtype="int64"), minlength=LM_SIZE)
-            held[LM_SIZE:] += np.bincount(np.array(word_counts(words), dtype="int64"), minlength=LM_SIZE)
+            words.update(w for t in pdf[column] for w in _words(t))
+            if len(words) > 200_000:
+                held += np.concatenate(slot_counts(words))
+                words = Counter()
+        held += np.concatenate(slot_counts(words))
         at = np.flatnonzero(held)
-        yield pd.DataFrame({"slot": at, "n": held[at]})
+        yield pd.DataFrame({"slot": at, "n": held[at].astype("int64")})
 
     table = names.mapInPandas(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(2 * LM_SIZE)

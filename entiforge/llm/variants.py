@@ -409,11 +409,16 @@ def entities(signatures: DataFrame, floor: float = -16.0, surprise: float = 3.0,
     loose = cut(based.where("component IS NULL AND (inst IS NULL OR n = 1)").select("node", "key"), "loose")
     wanted = loose.select(F.col("key").alias("key_v")).distinct()
     back = pairs.select(F.col("key_c").alias("key_v"), F.col("key_v").alias("key_c"), (F.col("ll") + backward).alias("ll"))
-    meant = pairs.select("key_v", "key_c", "ll").unionByName(back).join(wanted, "key_v").unionByName(wanted.select("key_v", F.col("key_v").alias("key_c"), F.lit(0.0).alias("ll")))
-    weight = F.exp("ll") * F.col("m")
-    odds = meant.join(mass.withColumnRenamed("key", "key_c"), "key_c").groupBy("key_v", "tree").agg(F.sum(weight).alias("w"), F.sum("m").alias("m"))
-    best = odds.groupBy("key_v").agg(F.max_by(F.struct("tree", "w", "m"), F.struct("w", "tree")).alias("top"), F.sum("w").alias("all_w"))
-    taken = best.where(F.col("top.w") >= posterior * F.col("all_w")).where("top.m >= 2").select(F.col("key_v").alias("key"), F.col("top.tree").alias("home"))
+    itself = wanted.select("key_v", F.col("key_v").alias("key_c"), F.lit(0.0).alias("ll"), F.lit(True).alias("own"))
+    meant = pairs.select("key_v", "key_c", "ll").unionByName(back).join(wanted, "key_v").withColumn("own", F.lit(False)).unionByName(itself)
+    odds = meant.join(mass.withColumnRenamed("key", "key_c"), "key_c").groupBy("key_v", "tree").agg(F.sum(F.exp("ll") * F.col("m")).alias("w"), F.sum("m").alias("m"), F.max("own").alias("own"))
+    # an entity has two mentions or more; single ones count against it, but for one of the spelling itself: the mention
+    # that is to be placed
+    several = F.when(F.col("m") >= 2, F.col("w"))
+    best = odds.groupBy("key_v").agg(
+        F.max_by("tree", F.struct(several.alias("w"), "tree")).alias("tree"), F.max(several).alias("w"), (F.sum("w") - F.max(F.when(F.col("own") & (F.col("m") == 1), 1.0).otherwise(0.0))).alias("all_w")
+    )
+    taken = best.where(F.col("w") >= posterior * F.col("all_w")).select(F.col("key_v").alias("key"), F.col("tree").alias("home"))
     # a spelling that no entity holds twice is rare enough for its mentions to be one person; else they stay alone
     rooted = mass.where("m >= 2").select("key").distinct().withColumn("rooted", F.lit(True))
     herds = loose.groupBy("key").agg(F.min("node").alias("herd")).join(rooted, "key", "left").select("key", F.when(F.col("rooted").isNull(), F.col("herd")).alias("herd"))

@@ -56,22 +56,24 @@ def _compatibility() -> tuple[dict[str, str], dict[str, str]]:
     return single, several
 
 
-def _translation() -> tuple[str, str]:
-    """Source and target alphabets: compatibility forms by rule, look-alikes from the table."""
-    pairs = _compatibility()[0] | {alike: form for form, alikes in LOOK_ALIKE.items() for alike in alikes}
-    return "".join(pairs), "".join(pairs.values())
+def _translations() -> tuple[tuple[str, str], tuple[str, str]]:
+    """Source and target alphabets: wide forms and look-alikes, which are common, and the rarer compatibility forms."""
+    single = _compatibility()[0]
+    common = {c: p for c, p in single.items() if unicodedata.decomposition(c).startswith("<wide>")} | {alike: form for form, alikes in LOOK_ALIKE.items() for alike in alikes}
+    rare = {c: p for c, p in single.items() if c not in common}
+    return ("".join(common), "".join(common.values())), ("".join(rare), "".join(rare.values()))
 
 
 def form_expression(column: str) -> str:
-    """The embedded SQL expression of the visual form of ``column``."""
-    src, dst = (x.replace("'", "''") for x in _translation())
-    e = f"regexp_replace({column}, '{INVISIBLE}', '', 'g')"
-    e = f"translate({e}, '{src}', '{dst}')"
+    """The embedded SQL expression of the visual form of ``column``.  What few texts hold is only done where a text
+    holds it: an alphabet of a thousand letters is set up anew for each text."""
+    (src, dst), (rare, plain) = ((x.replace("'", "''"), y.replace("'", "''")) for x, y in _translations())
     several = _compatibility()[1]
-    written_out = e
+    written_out = f"translate({column}, '{rare}', '{plain}')"
     for lig, letters in several.items():
         written_out = f"replace({written_out}, '{lig}', '{letters}')"
-    e = f"CASE WHEN regexp_matches({column}, '[{''.join(several)}]') THEN {written_out} ELSE {e} END"
+    e = f"CASE WHEN regexp_matches({column}, '[{rare}{''.join(several)}]') THEN {written_out} ELSE {column} END"
+    e = f"translate(regexp_replace({e}, '{INVISIBLE}', '', 'g'), '{src}', '{dst}')"
     e = f"nfc_normalize({e})"
     # a base letter from another script may only now, composed, have become one letter with its accent
     e = f"translate({e}, '{src}', '{dst}')"

@@ -12,6 +12,9 @@ an empty table gives an empty result; the same input gives the same splits.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +22,8 @@ from entiforge.operators.components import connected_components
 from entiforge.operators.hotkeys import hot_keys, rank_within, salted
 from entiforge.plans.lineage import cut
 
-#: Totals above this are counted in coarser units, so that a bitset stays at tens of kilobytes.
+#: Up to this target every bitset is kept to read a subset back; above, some are kept and those between made again.  This
+#: bounds memory alone: the subsets are the same.
 MAX_UNITS = 1 << 20
 
 
@@ -69,8 +73,8 @@ def closest_subset(sizes: list[tuple[int, int]], target: int, over: bool = True)
     """``size -> how many groups`` of the subset whose total comes closest to ``target``, from below only without
     ``over``; ``sizes`` has (size, number).
 
-    Numbers are cut into powers of two, so each size adds ``log`` shifts of one big-integer bitset; the bitsets of the
-    steps are kept to read the subset back.
+    Numbers are cut into powers of two, so each size adds ``log`` shifts of one big-integer bitset.  To read the subset
+    back, bitsets are kept (all, or one in ``sqrt(steps)`` for large targets, see :data:`MAX_UNITS`).
     """
     if target <= 0 or not sizes:
         return {}
@@ -84,11 +88,20 @@ def closest_subset(sizes: list[tuple[int, int]], target: int, over: bool = True)
             number -= take
             k *= 2
     limit = (1 << (2 * target + 2)) - 1
-    reach = [1]
-    for size, take in steps:
-        last = reach[-1]
-        reach.append((last | last << (size * take)) & limit)
-    full = reach[-1]
+    every = 1 if target <= MAX_UNITS else max(1, math.isqrt(len(steps)))
+
+    def reach(full: int, part: list[tuple[int, int]]) -> Iterator[int]:
+        """Totals within reach before each step of ``part``, and after the last."""
+        yield full
+        for size, take in part:
+            full = (full | full << (size * take)) & limit
+            yield full
+
+    kept, full = [], 1
+    for at in range(0, len(steps), every):
+        kept.append(full)
+        for full in reach(full, steps[at : at + every]):
+            pass
     low = full & ((1 << (target + 1)) - 1)
     below = low.bit_length() - 1
     above = full >> (target + 1)
@@ -98,48 +111,31 @@ def closest_subset(sizes: list[tuple[int, int]], target: int, over: bool = True)
         if up - target < target - below:
             best = up
     chosen: dict[int, int] = {}
-    for (size, take), before in zip(reversed(steps), reversed(reach[:-1])):
-        if not before >> best & 1:
-            chosen[size] = chosen.get(size, 0) + take
-            best -= size * take
+    for k in reversed(range(len(kept))):
+        part = steps[k * every : (k + 1) * every]
+        for (size, take), before in zip(reversed(part), reversed(list(reach(kept[k], part))[:-1])):
+            if not before >> best & 1:
+                chosen[size] = chosen.get(size, 0) + take
+                best -= size * take
     return chosen
 
 
 def choose_totals(sizes: list[tuple[int, int]], proportions: dict[str, float]) -> dict[str, dict[int, int]]:
     """``split -> size -> how many groups``: the smaller splits are filled first, what is left goes to the largest.
 
-    Up to :data:`MAX_UNITS` rows the totals are exact: no choice of groups comes closer, split by split.  Above, sizes
-    are counted in units and rounded up, so a split never takes more than its share by rounding, and what it lacks is
-    made up exactly with groups that still fit, largest first: then it lacks less than the smallest group left over.
+    One rule at any number of rows: split by split, no choice of groups comes closer to the share from below; only where
+    every group is larger than the share may a split take more.
     """
     total = sum(s * n for s, n in sizes)
-    unit = max(1, -(-total // MAX_UNITS))
     left = dict(sizes)
     out: dict[str, dict[int, int]] = {}
     order = sorted(proportions, key=lambda p: proportions[p])
     for split in order[:-1]:
-        want = int(proportions[split] * total)
-        coarse: dict[int, int] = {}
-        for s, n in left.items():
-            # sizes far below a unit would waste most of it: they are left for the exact filling
-            if n and (unit == 1 or s >= 8 * unit):
-                coarse[-(-s // unit)] = coarse.get(-(-s // unit), 0) + n
-        got = closest_subset(sorted(coarse.items()), int(proportions[split] * total / unit), over=unit == 1)
-        picked: dict[int, int] = {}
-        for c, n in got.items():
-            for s in sorted((x for x in left if -(-x // unit) == c and (unit == 1 or x >= 8 * unit)), reverse=True):
-                k = min(n, left[s])
-                picked[s] = picked.get(s, 0) + k
-                n -= k
-        if unit > 1:
-            missing = want - sum(s * k for s, k in picked.items())
-            for s in sorted(left, reverse=True):
-                k = min(left[s] - picked.get(s, 0), max(0, missing) // s)
-                picked[s] = picked.get(s, 0) + k
-                missing -= k * s
+        groups, want = sorted((s, n) for s, n in left.items() if n), int(proportions[split] * total)
+        picked = closest_subset(groups, want, over=False) or closest_subset(groups, want)
         for s, k in picked.items():
             left[s] -= k
-        out[split] = {s: k for s, k in picked.items() if k}
+        out[split] = picked
     out[order[-1]] = {s: n for s, n in left.items() if n}
     return out
 

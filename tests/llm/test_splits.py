@@ -102,3 +102,15 @@ def test_record_in_two_blocks(spark):
     a = spark.createDataFrame([(4, 1)], "record bigint, author bigint")
     got = {x.record: x.group_key for x in sl.record_groups(b.select("record"), b, a).collect()}
     assert got == {1: "b:x", 2: "b:x", 3: "b:x", 4: "b:z"}
+
+
+def test_totals_do_not_depend_on_the_limit(monkeypatch):
+    rnd = random.Random(12)
+    parts = {"train": 0.8, "validation": 0.1, "test": 0.1}
+    for _ in range(30):
+        sizes = sorted({rnd.randint(1, 60): rnd.randint(1, 9) for _ in range(rnd.randint(1, 12))}.items())
+        monkeypatch.setattr(sl, "MAX_UNITS", 1 << 20)
+        plan = sl.choose_totals(sizes, parts)
+        for units in (0, 7, 50):
+            monkeypatch.setattr(sl, "MAX_UNITS", units or 1)
+            assert sl.choose_totals(sizes, parts) == plan

@@ -183,3 +183,29 @@ def test_ward_by_components_equals_the_tree(spark):
         got = {r.row_id: r.cluster for r in cl.cluster_threshold(rows, d, t, "ward").collect()}
         want = lk.cut(lk.linkage(dist, "ward"), t)
         assert len(set(got.values())) == len(set(want)) == len({(got[i], int(want[i])) for i in range(30)})
+
+
+def test_small_blocks_share_calls(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    n, blocks = 120, 40
+    block = [f"b{k % blocks:02d}" for k in range(n)]
+    rows = [(k, block[k], int(rng.integers(-1, 2))) for k in range(n)] + [(n, "alone", 0)]
+    d = [(block[a], a, b, float(rng.random())) for a, b in itertools.combinations(range(n), 2) if block[a] == block[b]]
+    fitted = cl.fit_blocks(spark.createDataFrame(rows, "row_id bigint, block string, label bigint"), spark.createDataFrame(d, "block string, i bigint, j bigint, dist double"), "average", 0.6, supervised=lk.b3_f_score)
+    plan = fitted._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "__call" in plan  # not one call of Python a block
+    models = {r.block: r for r in fitted.collect()}
+    got = {r.row_id: r.label for r in cl.cut_blocks(fitted).collect()}
+    assert len(models) == blocks + 1 and sorted(got) == list(range(n + 1)) and got[n] == 0
+    for name in set(block):
+        ids = [k for k in range(n) if block[k] == name]
+        m = np.zeros((len(ids), len(ids)))
+        for b, i, j, x in d:
+            if b == name:
+                m[ids.index(i), ids.index(j)] = m[ids.index(j), ids.index(i)] = x
+        z, labels = lk.linkage(m, "average"), np.array([rows[k][2] for k in ids])
+        t = lk.best_b3_threshold(z, labels) if (labels != -1).any() else 0.6
+        assert models[name].ids == ids and models[name].threshold == pytest.approx(t)
+        assert [got[k] for k in ids] == lk.cut(z, t).tolist()
+    with pytest.raises(Exception, match="not in the block"):
+        cl.fit_blocks(spark.createDataFrame(rows, "row_id bigint, block string, label bigint"), spark.createDataFrame([*d, ("b00", 0, 999, 0.1)], "block string, i bigint, j bigint, dist double"), "average", 0.6).collect()
